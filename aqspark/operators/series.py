@@ -117,39 +117,45 @@ def running(
     keys: list[str],
     sums: dict[str, Column] | None = None,
     lasts: dict[str, Column] | None = None,
+    nexts: dict[str, Column] | None = None,
     min_block: int = MIN_BLOCK,
 ) -> DataFrame:
-    """Add running sums and last non-null values, both including the row itself."""
-    sums, lasts = sums or {}, lasts or {}
+    """Add running sums, last and next non-null values, each including the row itself."""
+    sums, lasts, nexts = sums or {}, lasts or {}, nexts or {}
+    named = {**sums, **lasts, **nexts}
     blocked = positioned.withColumn("_blk", F.floor(F.col("_pos") / _block_length(min_block)))
-    blocked = blocked.withColumns({f"_x_{n}": c for n, c in {**sums, **lasts}.items()})
+    blocked = blocked.withColumns({f"_x_{n}": c for n, c in named.items()})
+
+    def where_set(n: str) -> Column:
+        return F.when(F.col(f"_x_{n}").isNotNull(), F.col("_pos"))
 
     totals = [F.sum(f"_x_{n}").alias(f"_b_{n}") for n in sums]
-    totals += [
-        F.max_by(f"_x_{n}", F.when(F.col(f"_x_{n}").isNotNull(), F.col("_pos"))).alias(f"_b_{n}") for n in lasts
-    ]
-    earlier = (
-        (Window.partitionBy(*keys) if keys else Window.partitionBy())
-        .orderBy("_blk")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+    totals += [F.max_by(f"_x_{n}", where_set(n)).alias(f"_b_{n}") for n in lasts]
+    totals += [F.min_by(f"_x_{n}", where_set(n)).alias(f"_b_{n}") for n in nexts]
+    blocks = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy("_blk")
+    earlier = blocks.rowsBetween(Window.unboundedPreceding, -1)
+    later = blocks.rowsBetween(1, Window.unboundedFollowing)
     carried = blocked.groupBy(*keys, "_blk").agg(*totals).select(
         *keys,
         "_blk",
         *[F.coalesce(F.sum(f"_b_{n}").over(earlier), F.lit(0)).alias(f"_c_{n}") for n in sums],
         *[F.last(f"_b_{n}", ignorenulls=True).over(earlier).alias(f"_c_{n}") for n in lasts],
+        *[F.first(f"_b_{n}", ignorenulls=True).over(later).alias(f"_c_{n}") for n in nexts],
     )
-    inside = Window.partitionBy(*keys, "_blk").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+    rows = Window.partitionBy(*keys, "_blk").orderBy("_pos")
+    to_here = rows.rowsBetween(Window.unboundedPreceding, 0)
+    from_here = rows.rowsBetween(0, Window.unboundedFollowing)
     local = blocked.withColumns({
-        **{f"_l_{n}": F.coalesce(F.sum(f"_x_{n}").over(inside), F.lit(0)) for n in sums},
-        **{f"_l_{n}": F.last(f"_x_{n}", ignorenulls=True).over(inside) for n in lasts},
+        **{f"_l_{n}": F.coalesce(F.sum(f"_x_{n}").over(to_here), F.lit(0)) for n in sums},
+        **{f"_l_{n}": F.last(f"_x_{n}", ignorenulls=True).over(to_here) for n in lasts},
+        **{f"_l_{n}": F.first(f"_x_{n}", ignorenulls=True).over(from_here) for n in nexts},
     })
     joined = null_safe_join(local, carried, [*keys, "_blk"])
     out = joined.withColumns({
         **{n: F.col(f"_l_{n}") + F.col(f"_c_{n}") for n in sums},
-        **{n: F.coalesce(F.col(f"_l_{n}"), F.col(f"_c_{n}")) for n in lasts},
+        **{n: F.coalesce(F.col(f"_l_{n}"), F.col(f"_c_{n}")) for n in [*lasts, *nexts]},
     })
-    extra = [f"_{p}_{n}" for p in "xlc" for n in [*sums, *lasts]]
+    extra = [f"_{p}_{n}" for p in "xlc" for n in named]
     return out.drop("_blk", *extra)
 
 
