@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from aqspark.plans import cleaning, features, health, marts, quality, weather  # noqa: F401
+from aqspark.plans import accuracy, cleaning, features, health, marts, quality, weather  # noqa: F401
