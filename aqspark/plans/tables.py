@@ -232,7 +232,7 @@ _LON = _list(f"CAST({dims.CITY_COORDINATES[n][1]} AS DOUBLE)" for n in CITIES).r
 _PM25_INDEX = f"COALESCE({sql_piecewise('value', dims.CPCB_PM25_BREAKPOINTS, '5e2')}, 0e0)"
 _SHIFT = "((user_id % 7) - 3) * 2e-2"
 
-SQL_PREFIX = f"""WITH ev AS (
+SQL_PREFIX = f"""WITH RECURSIVE ev AS (
   SELECT event_id, user_id, event_type, ts, value AS raw,
          value * (2e0 + 4e-1 * (user_id % 10)) * CAST({FACTOR!r} AS DOUBLE) AS value,
          ({_list(CITIES)})[user_id % 10 + 1] AS city,
