@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from aqspark.plans import accuracy, cleaning, dashboards, features, health, hotspots, marts, quality, weather  # noqa: F401
+from aqspark.plans import accuracy, cleaning, dashboards, features, forecasts, health, hotspots, marts, quality, weather  # noqa: F401
