@@ -1,3 +1,16 @@
 """Imports every module that registers queries."""
 
-from aqspark.plans import accuracy, cleaning, dashboards, features, forecasts, health, hotspots, marts, quality, weather  # noqa: F401
+from aqspark.plans import (  # noqa: F401
+    accuracy,
+    cleaning,
+    dashboards,
+    features,
+    files,
+    forecasts,
+    health,
+    hotspots,
+    learning,
+    marts,
+    quality,
+    weather,
+)
