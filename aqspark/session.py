@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark import StorageLevel  # noqa: F401  (re-exported for callers)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,13 +43,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and store it in the shared checkpoint folder.
+    """Compute ``df`` once and store it as a table in the shared checkpoint folder.
 
-    Used where a later step must see the very same rows and partitions, even
-    after an executor is lost.
+    Used where a later step must see the very same rows, even after an executor
+    is lost, and where several steps read them. Columnar files let each of
+    those steps read only its columns, and their size tells Spark whether a
+    side is small enough to broadcast.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
