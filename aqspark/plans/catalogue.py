@@ -12,5 +12,6 @@ from aqspark.plans import (  # noqa: F401
     learning,
     marts,
     quality,
+    streams,
     weather,
 )
