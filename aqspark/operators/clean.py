@@ -10,7 +10,7 @@ from aqspark.functions import calendar, index
 from aqspark.functions.bins import lookup
 from aqspark.operators.quantiles import exact_quantiles
 from aqspark.operators.series import null_safe_join
-from aqspark.session import broadcast_if_small
+from aqspark.session import broadcast_if_small, settle
 
 NUMERIC = ["value", "latitude", "longitude"]
 TIMES = ["timestamp_utc", "timestamp_local"]
@@ -148,9 +148,10 @@ def add_category(df: DataFrame) -> DataFrame:
 def flag_reasons(df: DataFrame, method: str = "iqr") -> DataFrame:
     """Add ``reason``: why cleaning drops the row (null, range, outlier) or null to keep it."""
     typed = coerce_types(df)
-    staged = fill_defaults(
+    # bounds, flags and dropped rows all read the typed rows, so these are parsed and stored once
+    staged = settle(fill_defaults(
         typed.withColumn("reason", F.when(has_nulls(typed), F.lit("null")).when(out_of_range(), F.lit("range")))
-    )
+    ))
     kept = staged.where(F.col("reason").isNull())
     marked = flag_outliers(kept, method).withColumn("reason", F.when(F.col("is_outlier"), F.lit("outlier")))
     return marked.drop("is_outlier").unionByName(staged.where(F.col("reason").isNotNull()))

@@ -59,12 +59,18 @@ def points(stations: DataFrame) -> DataFrame:
     )
 
 
-def near_points(left: DataFrame, right: DataFrame, radius_km: float, side_km: float) -> DataFrame:
+def near_points(
+    left: DataFrame, right: DataFrame, radius_km: float, side_km: float, own_cell: bool = True
+) -> DataFrame:
     """Points of ``right`` within the radius of each point of ``left``, met on shared cells.
 
     Both sides hold distinct coordinates, so stations at one spot make no pairs.
+    Without ``own_cell`` points of one cell are not compared with each other.
     """
-    probe = left.withColumn("_at", F.explode(cells_within(F.col("latitude"), F.col("longitude"), radius_km, side_km)))
+    cells = cells_within(F.col("latitude"), F.col("longitude"), radius_km, side_km)
+    if not own_cell:
+        cells = F.array_except(cells, F.array("cell"))
+    probe = left.withColumn("_at", F.explode(cells))
     other = right.select(*[F.col(c).alias(f"n_{c}") for c in right.columns]).withColumn(
         "_at", _cell(F.col("n_latitude"), F.col("n_longitude"), side_km)
     )
@@ -113,8 +119,7 @@ def dbscan(stations: DataFrame, eps_km: float = EPS_KM, min_samples: int = MIN_S
     full = F.col("cell_weight") >= min_samples
     sparse = placed.where(~full).select("latitude", "longitude", "cell", "cell_weight")
     beyond = (
-        near_points(sparse, spots, eps_km, side)
-        .where(F.col("cell") != F.col("n_cell"))
+        near_points(sparse, spots, eps_km, side, own_cell=False)
         .groupBy("latitude", "longitude")
         .agg(F.sum("n_weight").alias("_beyond"))
     )
@@ -127,8 +132,7 @@ def dbscan(stations: DataFrame, eps_km: float = EPS_KM, min_samples: int = MIN_S
     marked = settle(marked)
     core = marked.where("core").drop("core")
     edges = (
-        near_points(core, core, eps_km, side)
-        .where(F.col("cell") != F.col("n_cell"))
+        near_points(core, core, eps_km, side, own_cell=False)
         .select(F.col("cell").alias("a"), F.col("n_cell").alias("b"))
         .distinct()
     )
