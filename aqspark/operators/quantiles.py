@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import math  # noqa: F401
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aqspark.operators.series import null_safe_join, running, with_position
+from aqspark.operators.series import running, with_position
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str | Column, probs: dict[str, float]) -> DataFrame:
@@ -23,16 +21,15 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str | Column, probs:
         keyed = keyed.withColumn("_all", F.lit(1))
     group = keys or ["_all"]
     hist = keyed.groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_w"))
-    ranked = running(with_position(hist, group, ["_v"]), group, sums={"_cum": F.col("_w")})
-    totals = ranked.groupBy(*group).agg(F.max("_cum").alias("_total"))
-    joined = null_safe_join(ranked, totals, group)
+    placed = with_position(hist, group, ["_v"])
+    ranked = running(placed, group, sums={"_cum": F.col("_w")}, totals=True).withColumnRenamed("_cum_total", "_total")
     picks = []
     for name, p in probs.items():
         rank = F.lit(p) * (F.col("_total") - 1)
         for tag, r in (("lo", F.floor(rank)), ("hi", F.ceil(rank))):
             inside = (F.col("_cum") - F.col("_w") <= r) & (r < F.col("_cum"))
             picks.append(F.max(F.when(inside, F.col("_v"))).alias(f"_{tag}_{name}"))
-    out = joined.groupBy(*group).agg(F.max("_total").alias("_total"), *picks)
+    out = ranked.groupBy(*group).agg(F.max("_total").alias("_total"), *picks)
     cols = []
     for name, p in probs.items():
         rank = F.lit(p) * (F.col("_total") - 1)

@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from aqspark.session import settle
+from aqspark.session import broadcast_if_small, settle
 
 MIN_BLOCK = 4096
 EWM_BLOCK = 256
@@ -32,6 +32,16 @@ def _sort_columns(order) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in order]
 
 
+def _series_id(keys: list[str]) -> Column:
+    """Exact, never-null text of a series key.
+
+    Windows and joins that use it, with a block number, share one partitioning;
+    a null-safe comparison of the key columns would force another shuffle.
+    """
+    parts = [F.coalesce(F.concat(F.lit("="), F.col(k).cast("string")), F.lit("-")) for k in keys]
+    return F.concat_ws("\u0001", *parts) if parts else F.lit("")
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Equi join on ``keys`` in which null matches null; key columns come from the left."""
     if not keys:
@@ -59,21 +69,21 @@ def with_position(df: DataFrame, keys: list[str], order: list) -> DataFrame:
         .withColumn("_row", F.monotonically_increasing_id())
         .drop("_tie")
     )
-    stored = settle(ordered)
-    runs = stored.groupBy(*keys, "_part").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_len"))
+    stored = settle(ordered.withColumn("_sid", _series_id(keys)))
+    runs = stored.groupBy("_sid", "_part").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_len"))
     # one row per series and sort partition it touches
-    per_key = Window.partitionBy(*keys) if keys else Window.partitionBy()
+    per_key = Window.partitionBy("_sid")
     before = per_key.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.select(
-        *keys,
+        "_sid",
         "_part",
         (F.coalesce(F.sum("_len").over(before), F.lit(0)) - F.col("_first")).alias("_shift"),
         F.sum("_len").over(per_key).alias("_n"),
     )
     return (
-        null_safe_join(stored, runs, [*keys, "_part"])
+        stored.join(broadcast_if_small(runs), ["_sid", "_part"])
         .withColumn("_pos", F.col("_row") + F.col("_shift"))
-        .drop("_part", "_row", "_shift")
+        .drop("_sid", "_part", "_row", "_shift")
     )
 
 
@@ -108,8 +118,8 @@ def series_window(
         )
     placed = positioned.withColumn("_place", F.explode(F.filter(F.array(*places), lambda p: p.isNotNull())))
     placed = placed.select("*", "_place._blk", "_place._own").drop("_place")
-    w = Window.partitionBy(*keys, "_blk").orderBy("_pos")
-    return placed.withColumns(build(w)).where("_own").drop("_blk", "_own")
+    w = Window.partitionBy("_sid", "_blk").orderBy("_pos")
+    return placed.withColumn("_sid", _series_id(keys)).withColumns(build(w)).where("_own").drop("_sid", "_blk", "_own")
 
 
 def running(
@@ -119,30 +129,37 @@ def running(
     lasts: dict[str, Column] | None = None,
     nexts: dict[str, Column] | None = None,
     min_block: int = MIN_BLOCK,
+    totals: bool = False,
 ) -> DataFrame:
-    """Add running sums, last and next non-null values, each including the row itself."""
+    """Add running sums, last and next non-null values, each including the row itself.
+
+    With ``totals`` every sum also gets its total over the series as ``<name>_total``.
+    """
     sums, lasts, nexts = sums or {}, lasts or {}, nexts or {}
     named = {**sums, **lasts, **nexts}
-    blocked = positioned.withColumn("_blk", F.floor(F.col("_pos") / _block_length(min_block)))
-    blocked = blocked.withColumns({f"_x_{n}": c for n, c in named.items()})
+    blocked = positioned.withColumns({
+        "_sid": _series_id(keys), "_blk": F.floor(F.col("_pos") / _block_length(min_block)),
+        **{f"_x_{n}": c for n, c in named.items()},
+    })
 
     def where_set(n: str) -> Column:
         return F.when(F.col(f"_x_{n}").isNotNull(), F.col("_pos"))
 
-    totals = [F.sum(f"_x_{n}").alias(f"_b_{n}") for n in sums]
-    totals += [F.max_by(f"_x_{n}", where_set(n)).alias(f"_b_{n}") for n in lasts]
-    totals += [F.min_by(f"_x_{n}", where_set(n)).alias(f"_b_{n}") for n in nexts]
-    blocks = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy("_blk")
+    per_block = [F.sum(f"_x_{n}").alias(f"_b_{n}") for n in sums]
+    per_block += [F.max_by(f"_x_{n}", where_set(n)).alias(f"_b_{n}") for n in lasts]
+    per_block += [F.min_by(f"_x_{n}", where_set(n)).alias(f"_b_{n}") for n in nexts]
+    blocks = Window.partitionBy("_sid").orderBy("_blk")
     earlier = blocks.rowsBetween(Window.unboundedPreceding, -1)
     later = blocks.rowsBetween(1, Window.unboundedFollowing)
-    carried = blocked.groupBy(*keys, "_blk").agg(*totals).select(
-        *keys,
+    carried = blocked.groupBy("_sid", "_blk").agg(*per_block).select(
+        "_sid",
         "_blk",
+        *[F.sum(f"_b_{n}").over(Window.partitionBy("_sid")).alias(f"{n}_total") for n in sums if totals],
         *[F.coalesce(F.sum(f"_b_{n}").over(earlier), F.lit(0)).alias(f"_c_{n}") for n in sums],
         *[F.last(f"_b_{n}", ignorenulls=True).over(earlier).alias(f"_c_{n}") for n in lasts],
         *[F.first(f"_b_{n}", ignorenulls=True).over(later).alias(f"_c_{n}") for n in nexts],
     )
-    rows = Window.partitionBy(*keys, "_blk").orderBy("_pos")
+    rows = Window.partitionBy("_sid", "_blk").orderBy("_pos")
     to_here = rows.rowsBetween(Window.unboundedPreceding, 0)
     from_here = rows.rowsBetween(0, Window.unboundedFollowing)
     local = blocked.withColumns({
@@ -150,13 +167,13 @@ def running(
         **{f"_l_{n}": F.last(f"_x_{n}", ignorenulls=True).over(to_here) for n in lasts},
         **{f"_l_{n}": F.first(f"_x_{n}", ignorenulls=True).over(from_here) for n in nexts},
     })
-    joined = null_safe_join(local, carried, [*keys, "_blk"])
+    joined = local.join(carried, ["_sid", "_blk"])
     out = joined.withColumns({
         **{n: F.col(f"_l_{n}") + F.col(f"_c_{n}") for n in sums},
         **{n: F.coalesce(F.col(f"_l_{n}"), F.col(f"_c_{n}")) for n in [*lasts, *nexts]},
     })
     extra = [f"_{p}_{n}" for p in "xlc" for n in named]
-    return out.drop("_blk", *extra)
+    return out.drop("_sid", "_blk", *extra)
 
 
 def ewm_mean(positioned: DataFrame, keys: list[str], value: str, spans: dict[str, int]) -> DataFrame:
@@ -167,10 +184,9 @@ def ewm_mean(positioned: DataFrame, keys: list[str], value: str, spans: dict[str
     """
     b = EWM_BLOCK
     decay = {name: 1.0 - 2.0 / (span + 1.0) for name, span in spans.items()}
-    blocked = (
-        positioned.withColumn("_blk", F.floor(F.col("_pos") / b))
-        .withColumn("_off", (F.col("_pos") % b).cast("double"))
-    )
+    blocked = positioned.withColumns({
+        "_sid": _series_id(keys), "_blk": F.floor(F.col("_pos") / b), "_off": (F.col("_pos") % b).cast("double"),
+    })
     x = F.coalesce(F.col(value), F.lit(0.0))
     seen = F.when(F.col(value).isNotNull(), F.lit(1.0)).otherwise(F.lit(0.0))
 
@@ -181,16 +197,16 @@ def ewm_mean(positioned: DataFrame, keys: list[str], value: str, spans: dict[str
     for name, d in decay.items():
         weight = power(d, F.lit(float(b - 1)) - F.col("_off"))
         sums += [F.sum(x * weight).alias(f"_s_{name}"), F.sum(seen * weight).alias(f"_t_{name}")]
-    per_block = blocked.groupBy(*keys, "_blk").agg(*sums)
+    per_block = blocked.groupBy("_sid", "_blk").agg(*sums)
     reach = max(_reach(d) for d in decay.values())
     spread = per_block.withColumn("_ahead", F.explode(F.sequence(F.lit(1), F.lit(reach))))
     carry = []
     for name, d in decay.items():
         fade = power(d, (F.col("_ahead") - 1).cast("double") * F.lit(float(b)))
         carry += [F.sum(F.col(f"_s_{name}") * fade).alias(f"_cs_{name}"), F.sum(F.col(f"_t_{name}") * fade).alias(f"_ct_{name}")]
-    carried = spread.groupBy(*keys, (F.col("_blk") + F.col("_ahead")).alias("_blk")).agg(*carry)
+    carried = spread.groupBy("_sid", (F.col("_blk") + F.col("_ahead")).alias("_blk")).agg(*carry)
 
-    inside = Window.partitionBy(*keys, "_blk").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("_sid", "_blk").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
     local = blocked
     for name, d in decay.items():
         grow = power(d, -F.col("_off"))
@@ -198,7 +214,7 @@ def ewm_mean(positioned: DataFrame, keys: list[str], value: str, spans: dict[str
             f"_ls_{name}": F.sum(x * grow).over(inside) * power(d, F.col("_off")),
             f"_lt_{name}": F.sum(seen * grow).over(inside) * power(d, F.col("_off")),
         })
-    joined = null_safe_join(local, carried, [*keys, "_blk"])
+    joined = local.join(carried, ["_sid", "_blk"], "left")
     out = {}
     for name, d in decay.items():
         fade = power(d, F.col("_off") + 1)
@@ -206,7 +222,7 @@ def ewm_mean(positioned: DataFrame, keys: list[str], value: str, spans: dict[str
         den = F.col(f"_lt_{name}") + F.coalesce(F.col(f"_ct_{name}"), F.lit(0.0)) * fade
         out[name] = F.when(den > 0, num / den)
     extra = [f"_{p}_{n}" for p in ("ls", "lt", "cs", "ct") for n in decay]
-    return joined.withColumns(out).drop("_blk", "_off", *extra)
+    return joined.withColumns(out).drop("_sid", "_blk", "_off", *extra)
 
 
 def _reach(decay: float) -> int:

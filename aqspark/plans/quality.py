@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from aqspark import dims
+from aqspark.operators import clean, hotspot
 from aqspark.operators import quality as ql
-from aqspark.plans.cleaning import RAW_TYPED, TWO_FEEDS, raw_text, two_feeds
+from aqspark.plans.cleaning import IQR, IQR_MARK, RAW_TYPED, TWO_FEEDS, raw_text, two_feeds
+from aqspark.plans.hotspots import NB
+from aqspark.plans.hotspots import stations as station_means
 from aqspark.plans.marts import rounded
 from aqspark.plans.registry import query
 from aqspark.plans.tables import AS_OF, as_of
-from aqspark.operators import clean
 
 
 def typed(t):
@@ -189,3 +191,21 @@ _SPIKE = """sp AS (SELECT *, coalesce(abs(value - avg(value) OVER f) > 3 * stdde
 def spikes(t):
     rows = t.readings.select("reading_id", "city", "parameter", "value", "timestamp_utc")
     return ql.spikes(rows, ["timestamp_utc", "reading_id"]).drop("timestamp_utc")
+
+
+_OUT = " OR ".join(f"(parameter = '{p}' AND (value < {a} OR value > {b}))" for p, (a, b) in dims.PARAMETER_RANGES.items())
+
+
+@query("q13_quality_score", _SPIKE + ", " + IQR.format(src="readings") + ", " + NB + f""",
+fl AS (SELECT sp.reading_id, ({_OUT}) AS bad, {IQR_MARK} AS outl, is_spike, coalesce(abs(av - nm) > 3e-1 * nm, false) AS apart, source
+  FROM sp JOIN q USING (city, parameter) LEFT JOIN nb USING (location)),
+sc AS (SELECT reading_id, greatest(0e0, 1e0 - (CASE WHEN bad THEN 6e-1 ELSE 0e0 END + CASE WHEN outl THEN 2e-1 ELSE 0e0 END + CASE WHEN is_spike THEN 1e-1 ELSE 0e0 END
+  + CASE WHEN apart THEN 1e-1 ELSE 0e0 END + CASE WHEN source IS DISTINCT FROM 'cpcb' THEN 5e-2 ELSE 0e0 END)) AS s FROM fl)
+SELECT reading_id, round(s, 6) AS quality_score, s >= 5e-1 AS use_for_training, s >= 8e-1 AS use_for_display FROM sc""")
+def score(t):
+    rows = t.readings.select("reading_id", "city", "location", "parameter", "value", "timestamp_utc", "source")
+    flagged = clean.flag_outliers(ql.spikes(rows, ["timestamp_utc", "reading_id"])).withColumn("is_bad", clean.out_of_range())
+    apart = hotspot.inconsistent_stations(station_means(t)).select("location", "differs_from_neighbours")
+    joined = flagged.join(apart, "location", "left")
+    scored = ql.quality_score(joined, "is_bad", "is_outlier", "is_spike", "differs_from_neighbours")
+    return scored.select("reading_id", F.round("quality_score", 6).alias("quality_score"), "use_for_training", "use_for_display")

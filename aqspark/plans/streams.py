@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import cached_property
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +11,7 @@ from aqspark.plans.dashboards import ERROR_LOG, error_log
 from aqspark.plans.files import work_path
 from aqspark.plans.marts import rounded
 from aqspark.plans.registry import query
-from aqspark.plans.tables import AS_OF, Tables, as_of
+from aqspark.plans.tables import AS_OF, EVENT_SCHEMA, Tables, as_of
 from aqspark.streaming import cooldown, jobs
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -22,14 +20,10 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 class StreamTables(Tables):
     """The same tables over a stream of the event file."""
 
-    @cached_property
-    def _schema(self):
-        return self.spark.read.parquet(f"{self.sf_dir}/events.parquet").schema
-
     def raw(self, name: str) -> DataFrame:
         if name != "events":
             return super().raw(name)
-        return jobs.read_stream(self.spark, self.sf_dir, self._schema, pathGlobFilter="events.parquet")
+        return jobs.read_stream(self.spark, self.sf_dir, EVENT_SCHEMA, pathGlobFilter="events.parquet")
 
 
 def stream(t) -> StreamTables:

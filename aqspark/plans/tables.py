@@ -38,12 +38,17 @@ def as_of() -> Column:
     return F.lit(AS_OF).cast("timestamp")
 
 
+# times are stored without a zone and are UTC; read as instants, filters on them reach the file
+EVENT_SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+
+
 class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        reader = self.spark.read.schema(EVENT_SCHEMA) if name == "events" else self.spark.read
+        return reader.parquet(f"{self.sf_dir}/{name}.parquet")
 
     @cached_property
     def _events(self) -> DataFrame:
@@ -54,7 +59,7 @@ class Tables:
             "event_id",
             "user_id",
             "event_type",
-            F.col("ts").cast("timestamp").alias("ts"),
+            "ts",
             F.col("value").alias("raw"),
             value.alias("value"),
             nth(CITIES, c).alias("city"),

@@ -42,11 +42,16 @@ class Cooldown(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         last = self._last.get()[0] if self._last.exists() else None
-        # one rule's over-threshold times in this batch; kept as two numbers per row
-        parts = [p[["timestamp_utc", "current_value", "threshold", "cooldown"]] for p in rows]
+        parts = []
+        for p in rows:
+            wait = int(p["cooldown"].iloc[0]) * 1_000_000
+            if last is not None:
+                # rows within the running cooldown can never fire
+                p = p[p["timestamp_utc"].astype("datetime64[us]").astype("int64") - last >= wait]
+            # copies at one instant fire at most once
+            parts.append(p.groupby("timestamp_utc", as_index=False)[["current_value", "threshold"]].min())
         batch = pd.concat(parts, ignore_index=True).sort_values(["timestamp_utc", "current_value"])
         micros = batch["timestamp_utc"].astype("datetime64[us]").astype("int64").tolist()
-        wait = int(batch["cooldown"].iloc[0]) * 1_000_000
         picked = []
         for i, at in enumerate(micros):
             if last is None or at - last >= wait:
