@@ -177,12 +177,14 @@ def hourly_grid(readings: DataFrame, value: str = "value", name: str = "aqi", ke
 
 def interpolate_grid(df: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
     """Linear in time between known hours; hours after the last known one keep its value."""
-    w = Window.partitionBy(*keys).orderBy("ts")
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    so_far = (Window.unboundedPreceding, 0)
+    back = Window.partitionBy(*keys).orderBy("ts").rowsBetween(*so_far)
+    # the rows ahead are those so far in descending order, a frame Spark grows row by row
+    ahead = Window.partitionBy(*keys).orderBy(F.col("ts").desc()).rowsBetween(*so_far)
     out = {}
     for c in columns:
         known = F.when(F.col(c).isNotNull(), F.struct(F.unix_seconds("ts").alias("p"), F.col(c).alias("v")))
-        prev, nxt = F.last(known, ignorenulls=True).over(back), F.first(known, ignorenulls=True).over(ahead)
+        prev, nxt = F.last(known, ignorenulls=True).over(back), F.last(known, ignorenulls=True).over(ahead)
         share = (F.unix_seconds("ts") - prev["p"]) / (nxt["p"] - prev["p"])
         out[c] = F.when(F.col(c).isNotNull(), F.col(c)).when(
             nxt.isNotNull(), prev["v"] + (nxt["v"] - prev["v"]) * share

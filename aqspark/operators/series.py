@@ -148,24 +148,26 @@ def running(
     per_block = [F.sum(f"_x_{n}").alias(f"_b_{n}") for n in sums]
     per_block += [F.max_by(f"_x_{n}", where_set(n)).alias(f"_b_{n}") for n in lasts]
     per_block += [F.min_by(f"_x_{n}", where_set(n)).alias(f"_b_{n}") for n in nexts]
-    blocks = Window.partitionBy("_sid").orderBy("_blk")
-    earlier = blocks.rowsBetween(Window.unboundedPreceding, -1)
-    later = blocks.rowsBetween(1, Window.unboundedFollowing)
+    # a frame that reaches forward is written as one reaching back in descending
+    # order: Spark grows such a frame row by row instead of rebuilding it
+    back = (Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("_sid").orderBy("_blk").rowsBetween(*back)
+    later = Window.partitionBy("_sid").orderBy(F.col("_blk").desc()).rowsBetween(*back)
     carried = blocked.groupBy("_sid", "_blk").agg(*per_block).select(
         "_sid",
         "_blk",
         *[F.sum(f"_b_{n}").over(Window.partitionBy("_sid")).alias(f"{n}_total") for n in sums if totals],
         *[F.coalesce(F.sum(f"_b_{n}").over(earlier), F.lit(0)).alias(f"_c_{n}") for n in sums],
         *[F.last(f"_b_{n}", ignorenulls=True).over(earlier).alias(f"_c_{n}") for n in lasts],
-        *[F.first(f"_b_{n}", ignorenulls=True).over(later).alias(f"_c_{n}") for n in nexts],
+        *[F.last(f"_b_{n}", ignorenulls=True).over(later).alias(f"_c_{n}") for n in nexts],
     )
-    rows = Window.partitionBy("_sid", "_blk").orderBy("_pos")
-    to_here = rows.rowsBetween(Window.unboundedPreceding, 0)
-    from_here = rows.rowsBetween(0, Window.unboundedFollowing)
+    rows = Window.partitionBy("_sid", "_blk")
+    to_here = rows.orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+    from_here = rows.orderBy(F.col("_pos").desc()).rowsBetween(Window.unboundedPreceding, 0)
     local = blocked.withColumns({
         **{f"_l_{n}": F.coalesce(F.sum(f"_x_{n}").over(to_here), F.lit(0)) for n in sums},
         **{f"_l_{n}": F.last(f"_x_{n}", ignorenulls=True).over(to_here) for n in lasts},
-        **{f"_l_{n}": F.first(f"_x_{n}", ignorenulls=True).over(from_here) for n in nexts},
+        **{f"_l_{n}": F.last(f"_x_{n}", ignorenulls=True).over(from_here) for n in nexts},
     })
     joined = local.join(carried, ["_sid", "_blk"])
     out = joined.withColumns({
