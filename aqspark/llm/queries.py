@@ -2,12 +2,51 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from aqspark.llm import simhash
+from aqspark.llm import mixing, packing, quality, secrets, simhash, substrings
 from aqspark.llm.registry import register
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+@register("op3_packing")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 @register("op8_simhash_near_duplicates")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
+@register("op10_secret_scan")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(documents(spark, sf_dir))
+    count = lambda kind: F.size(F.filter("findings", lambda f: f["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        *(count(k).alias(f"n_{k}") for k in ("assign", "access", "hex")),
+        F.sha2(secrets.spans(kinds=("assign", "access", "hex")), 256).alias("base_sha256"),
+        secrets.spans().alias("spans"),
+    )
+
+
+@register("op7_source_mix")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.document_totals(mixing.mix(documents(spark, sf_dir)))
+
+
+@register("op9_quality_rules")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(documents(spark, sf_dir))
+
+
+@register("op5_substring_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.remove_repeats(documents(spark, sf_dir))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
