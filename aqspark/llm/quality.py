@@ -3,8 +3,8 @@
 Each text gives two histograms: characters by class, and its letter runs by the
 common words of its language (plus all others). Both are compared with the
 language's reference by Jensen-Shannon distance (base two, so 0 to 1). The
-references are the summed histograms of all rows of that language that pass the
-base rules. A distance is judged only if the text is long enough for it.
+references are the summed histograms of the rows of that language that pass the
+base rules and lie near the sum of all of them. A distance is judged only if the text is long enough for it.
 
 Defined results: null text has no words and fails the base rules; a null or
 unlisted language has no reference, so only the base rules count; equal rows
@@ -21,9 +21,11 @@ from aqspark.session import settle
 
 MIN_WORDS = 50
 MIN_CHARS = 200  # of the text, for the distance of character classes
-MIN_LETTER_WORDS = 60  # letter runs, for the distance of common words
-MAX_CLASS_DISTANCE = 0.20
+MIN_LETTER_WORDS = 120  # letter runs, for the distance of common words
+MAX_CLASS_DISTANCE = 0.28
 MAX_WORD_DISTANCE = 0.40
+MAX_BOTH = (0.165, 0.22)  # of classes and of common words, where both are exceeded
+NEAR_DISTANCE = 0.20  # of classes, for rows that make the reference
 
 # fixed values: frequent words of each language
 COMMON_WORDS = {
@@ -100,7 +102,16 @@ def histograms(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFra
 
 
 def references(features: DataFrame, lang: str = "lang") -> dict[str, tuple[list[float], list[float]]]:
-    """Reference histograms by language: at most one row for each listed language reaches the driver."""
+    """Reference histograms by language, from the rows near a first reference made from all rows.
+
+    ``features`` is read twice, so it should be stored.
+    """
+    near = verdict(features, summed(features, lang), lang).where(F.coalesce("class_distance", F.lit(0.0)) <= NEAR_DISTANCE)
+    return summed(near, lang)
+
+
+def summed(features: DataFrame, lang: str) -> dict[str, tuple[list[float], list[float]]]:
+    """Summed histograms as shares: at most one row for each listed language reaches the driver."""
     sums = lambda c, n: F.array(*(F.sum(F.get(c, F.lit(i))) for i in range(n))).alias(c)
     n_common = len(COMMON_WORDS["en"]) + 1
     rows = (
@@ -135,7 +146,8 @@ def verdict(features: DataFrame, known: dict[str, tuple[list[float], list[float]
         chars = F.aggregate("_classes", F.lit(0.0), lambda s, x: s + x)
         judged["class_distance"] = F.when(here & (chars >= MIN_CHARS), distance(F.col("_classes"), literal(classes))).otherwise(judged["class_distance"])
         judged["word_distance"] = F.when(here & (F.col("_n_runs") >= MIN_LETTER_WORDS), distance(F.col("_common"), literal(common))).otherwise(judged["word_distance"])
-    far = (F.coalesce("class_distance", F.lit(0.0)) > MAX_CLASS_DISTANCE) | (F.coalesce("word_distance", F.lit(0.0)) > MAX_WORD_DISTANCE)
+    by_class, by_word = F.coalesce("class_distance", F.lit(0.0)), F.coalesce("word_distance", F.lit(0.0))
+    far = (by_class > MAX_CLASS_DISTANCE) | (by_word > MAX_WORD_DISTANCE) | ((by_class > MAX_BOTH[0]) & (by_word > MAX_BOTH[1]))
     return features.withColumns(judged).withColumn("kept", ~F.col("base_failed") & ~far)
 
 
@@ -153,7 +165,7 @@ def score(df: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "la
 def keep(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows of ``df`` that are kept, with all their columns."""
     narrow = df.select(F.col(f"`{text}`").alias("_text"), F.col(f"`{lang}`").alias("_lang"))
-    known = references(features(narrow, "_text", "_lang"), "_lang")
+    known = references(settle(features(narrow, "_text", "_lang").drop("_text")), "_lang")
     names = [F.col(f"`{c}`") for c in df.columns]
     whole = df.select(F.struct(*names).alias("_row"), F.col(f"`{text}`").alias("_text"), F.col(f"`{lang}`").alias("_lang"))
     return verdict(features(whole, "_text", "_lang"), known, "_lang").where("kept").select("_row.*")
