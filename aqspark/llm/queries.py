@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aqspark.llm import htmltext, language, mixing, packing, projections, quality, secrets, simhash, substrings
+from aqspark.llm import htmltext, language, mixing, packing, projections, quality, secrets, simhash, substrings, warc
 from aqspark.llm.registry import register
 
 
@@ -83,3 +83,24 @@ FROM comp LEFT JOIN deg USING (vec_id)
 @register("op1_embedding_near_duplicates", EMBEDDING_TWIN)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projections.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+WARC_TWIN = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS hex FROM p),
+b AS (SELECT *, array_to_string(list_transform(range(0, 32), lambda k:
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+               (((('0x' || substr(hex, 5 * (k // 4) + 1, 5))::BIGINT >> (15 - 5 * (k % 4))::INT) & 31) + 1)::INT, 1)), '') AS payload_digest FROM d),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY hex) AS first FROM b)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
+
+@register("op2_warc_archives", WARC_TWIN)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.archive_folder(spark)
+    manifest = warc.write(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
+    return warc.read(manifest, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
