@@ -33,7 +33,7 @@ class WordTokenizer:
     @staticmethod
     def split(word: str) -> tuple[str, str]:
         core = word.rstrip(string.punctuation)
-        if not core.isalpha():
+        if not (core.isalpha() and core.lower().isalpha()):  # one capital becomes a letter and a mark
             return word, ""
         # lower case is the vocabulary's own step; doing it here is safe below U+0130
         return core.lower() if max(core) < "İ" else core, word[len(core) :]
