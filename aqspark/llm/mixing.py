@@ -34,6 +34,7 @@ BUDGET = 1.5  # share of all words that the mix takes
 MAX_REPEATS = 2
 BLOCK = 64  # words
 SHARD_SLOTS = 4096
+TASK_SLOTS = 100_000  # slots that one task makes
 SPREAD = 1024  # ranges of each source's document order, summed apart
 ROUNDS = 10
 SEED = 7
@@ -107,7 +108,7 @@ def round_keys(source: Source, turn: int, seed: int = SEED) -> list[int]:
 def sized(df: DataFrame, id: str, text: str, source: str) -> DataFrame:
     """id, source, size and order key of each row."""
     size = F.regexp_count(F.coalesce(F.col(f"`{text}`"), F.lit("")), F.lit(WORD_BREAKS.replace("[", "[^"))).cast("long")
-    return df.select(F.col(f"`{id}`").alias("_id"), F.col(f"`{source}`").alias("_source"), size.alias("size"), order_key(F.col(f"`{id}`")).alias("_key"))
+    return df.select(F.col(f"`{id}`").alias("_id"), F.col(f"`{source}`").alias("_source"), size.alias("_size"), order_key(F.col(f"`{id}`")).alias("_key"))
 
 
 def placed(rows: DataFrame, sources: list[Source]) -> DataFrame:
@@ -120,19 +121,19 @@ def placed(rows: DataFrame, sources: list[Source]) -> DataFrame:
     known = F.create_map(*(x for n, at in names.items() if n is not None for x in (F.lit(n), F.lit(at)))) if any(n is not None for n in names) else None
     at = F.lit(names.get(None, -1)) if known is None else F.coalesce(F.element_at(known, F.col("_source")), F.lit(names.get(None, -1)))
     rows = rows.withColumns({"_at": at.cast("int"), "_range": F.shiftright("_key", 60 - SPREAD.bit_length() + 1).cast("int")})
-    sums = rows.groupBy("_at", "_range").agg(F.sum("size").alias("_sum"))
+    sums = rows.groupBy("_at", "_range").agg(F.sum("_size").alias("_sum"))
     before = Window.partitionBy("_at").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("_at", "_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
-    within = Window.partitionBy("_at", "_range").orderBy("_key", "_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.col("_base") + F.coalesce(F.sum("size").over(within), F.lit(0))
+    within = Window.partitionBy("_at", "_range").orderBy("_key", "_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.col("_base") + F.coalesce(F.sum("_size").over(within), F.lit(0))
     return rows.join(sums, ["_at", "_range"]).withColumn("_start", start).drop("_base")
 
 
 def blocks(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     """Pieces of documents in blocks: _at, block, and the piece's start in its document and length."""
-    first, last = F.col("_start"), F.col("_start") + F.col("size")
+    first, last = F.col("_start"), F.col("_start") + F.col("_size")
     number = F.explode(F.sequence(F.floor(first / block), F.floor((last - 1) / block)))
-    cut = rows.where("size > 0").select("*", number.alias("block"))
+    cut = rows.where("_size > 0").select("*", number.alias("block"))
     begin = F.greatest(F.col("block") * block, first)
     return cut.withColumns({"piece_start": begin - first, "piece_length": F.least((F.col("block") + 1) * block, last) - begin})
 
@@ -157,7 +158,8 @@ def slots(df: DataFrame, sources: list[Source], seed: int = SEED, shard_slots: i
         short.append(max(0, s.slots - got.get(s.at, 0)))
     short_ends = [sum(short[: k + 1]) for k in range(len(short))]
     own = lambda values, col="_at": lookup(values, F.col(col), "long")
-    numbered = counts.select("shard", "_at", F.explode(F.sequence(F.col("_before"), F.col("_before") + F.col("count") - 1)).alias("_k"))
+    spread = counts.repartition(max(1, total // TASK_SLOTS), "shard")  # few rows become many
+    numbered = spread.select("shard", "_at", F.explode(F.sequence(F.col("_before"), F.col("_before") + F.col("count") - 1)).alias("_k"))
     extra = F.col("_k") - own([s.slots for s in sources])
     spare = own([over[s.at] for s in sources]) + extra
     taker = F.size(F.filter(F.array(*(F.lit(e).cast("long") for e in short_ends)), lambda e: e <= F.col("_spare")))
@@ -167,7 +169,8 @@ def slots(df: DataFrame, sources: list[Source], seed: int = SEED, shard_slots: i
     n = own([max(s.blocks, 1) for s in sources])
     keys = lookup_arrays([[round_keys(s, t, seed) for t in range(MAX_REPEATS)] for s in sources])
     final = final.withColumns({"_n": n, "_keys": F.get(F.get(keys, F.col("_at")), F.floor(F.col("_k") / n).cast("int"))})
-    return final.select("shard", "_at", permuted(F.col("_k") % F.col("_n"), F.col("_n"), F.col("_keys")).alias("block"))
+    # stored, so that its size is known when it is joined
+    return settle(final.select("shard", "_at", permuted(F.col("_k") % F.col("_n"), F.col("_n"), F.col("_keys")).alias("block")))
 
 
 def lookup_arrays(values: list[list[list[int]]]) -> Column:
@@ -186,7 +189,7 @@ class Mix:
 def mix(df: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED) -> Mix:
     """The mix of ``df``; ``pieces`` has shard, block, _at, _start, _id, piece_start and piece_length."""
     rows = settle(sized(df, id, text, source))
-    sizes = rows.groupBy("_source").agg(F.sum("size").alias("size"))
+    sizes = rows.groupBy("_source").agg(F.sum("_size").alias("size"))
     sources = plan_sources([(r["_source"], r["size"]) for r in sizes.collect()])
     if not sources:
         empty = rows.withColumns({c: F.lit(0).cast("long") for c in ("shard", "block", "_at", "_start", "piece_start", "piece_length")})
@@ -200,11 +203,11 @@ def document_totals(found: Mix, id: str = "doc_id") -> DataFrame:
     """id, size, source_size, target and taken (words in the mix, repeats counted) of every row."""
     # a document with words is known by its source and first word
     per = found.pieces.groupBy("_at", "_start").agg(F.sum("piece_length").alias("taken"))
-    rows = found.rows.withColumn("_some", F.col("size") > 0)
+    rows = found.rows.withColumn("_some", F.col("_size") > 0)
     per = per.withColumn("_some", F.lit(True))
     own = lambda values, kind: lookup(values, F.col("_at"), kind) if values else F.lit(None).cast(kind)
     return rows.join(per, ["_at", "_start", "_some"], "left").select(
-        F.col("_id").alias(id), "size",
+        F.col("_id").alias(id), F.col("_size").alias("size"),
         own([s.size for s in found.sources], "long").alias("source_size"),
         own([s.target for s in found.sources], "double").alias("target"),
         F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
@@ -222,17 +225,17 @@ def mixed_documents(df: DataFrame, id: str = "doc_id", text: str = "text", sourc
     named = df.withColumn("_ref", F.struct(F.col(f"`{id}`").alias("id"), digest.alias("digest")))
     found = mix(named, "_ref", text, source, seed)
     piece = F.struct(F.col("piece_start").alias("start"), F.col("piece_length").alias("length"), "shard")
-    per = found.pieces.groupBy("_id", "size", "_source").agg(F.sort_array(F.collect_list(piece)).alias("_pieces"), F.sum("piece_length").alias("_taken"))
+    per = found.pieces.groupBy("_id", "_size", "_source").agg(F.sort_array(F.collect_list(piece)).alias("_pieces"), F.sum("piece_length").alias("_taken"))
     kept = named.dropDuplicates(["_ref", source])
     same = (kept["_ref"].eqNullSafe(per["_id"])) & kept[source].eqNullSafe(per["_source"])
     rows = kept.join(per, same)
     whole = F.col(f"`{text}`")
     words = F.split(F.btrim(whole, F.lit(" \t\n\x0b\x0c\r")), WORD_BREAKS)
     rows = rows.withColumn("_words", words)
-    times = (F.col("_taken") / F.col("size")).cast("int")
+    times = (F.col("_taken") / F.col("_size")).cast("int")
     joined = F.array_join(F.flatten(F.transform("_pieces", lambda p: F.slice("_words", (p["start"] + 1).cast("int"), p["length"].cast("int")))), " ")
     starts = F.size(F.array_distinct(F.transform("_pieces", lambda p: p["start"])))
-    complete = (F.col("_taken") == times * F.col("size")) & (starts * times == F.size("_pieces"))
+    complete = (F.col("_taken") == times * F.col("_size")) & (starts * times == F.size("_pieces"))
     new = F.when(complete, F.array_join(F.array_repeat(whole, times), "\n")).otherwise(joined)
     out = {c: F.col(f"`{c}`") for c in df.columns} | {text: new}
     if n_chars in df.columns:
