@@ -106,8 +106,9 @@ def references(features: DataFrame, lang: str = "lang") -> dict[str, tuple[list[
 
     ``features`` is read twice, so it should be stored.
     """
-    near = verdict(features, summed(features, lang), lang).where(F.coalesce("class_distance", F.lit(0.0)) <= NEAR_DISTANCE)
-    return summed(near, lang)
+    first = summed(features, lang)
+    near = verdict(features, first, lang).where(F.coalesce("class_distance", F.lit(0.0)) <= NEAR_DISTANCE)
+    return first | summed(near, lang)  # a language without rows near its sum keeps that
 
 
 def summed(features: DataFrame, lang: str) -> dict[str, tuple[list[float], list[float]]]:
@@ -163,9 +164,15 @@ def score(df: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "la
 
 
 def keep(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """The rows of ``df`` that are kept, with all their columns."""
-    narrow = df.select(F.col(f"`{text}`").alias("_text"), F.col(f"`{lang}`").alias("_lang"))
-    known = references(settle(features(narrow, "_text", "_lang").drop("_text")), "_lang")
-    names = [F.col(f"`{c}`") for c in df.columns]
-    whole = df.select(F.struct(*names).alias("_row"), F.col(f"`{text}`").alias("_text"), F.col(f"`{lang}`").alias("_lang"))
-    return verdict(features(whole, "_text", "_lang"), known, "_lang").where("kept").select("_row.*")
+    """The rows of ``df`` that are kept, with all their columns.
+
+    The verdict follows from text and language alone, so the rejected ones are
+    known by a 128-bit hash of both and taken out by an anti join.
+    """
+    columns = [F.col(f"`{text}`"), F.col(f"`{lang}`")]
+    parts = [x for c in columns for x in (c.isNull(), c)]
+    keys = [F.xxhash64(F.lit(seed), *parts).alias(f"_key{seed}") for seed in (1, 2)]
+    narrow = df.select(columns[0].alias("_text"), columns[1].alias("_lang"), *keys)
+    found = settle(features(narrow, "_text", "_lang").drop("_text"))
+    rejected = settle(verdict(found, references(found, "_lang"), "_lang").where("not kept").select("_key1", "_key2").distinct())
+    return df.select("*", *keys).join(rejected, ["_key1", "_key2"], "left_anti").drop("_key1", "_key2")

@@ -21,8 +21,8 @@ def prose(rng, lang, n):
 
 def test_junk_goes_and_prose_stays(make):
     rng = random.Random(2)
-    rows = [(k, prose(rng, lang, 150), lang, "s") for k, lang in enumerate(["en", "de", "fr", "es"] * 20)]
-    junk = [(1000 + k, " ".join(f"x{rng.randint(0, 9)}##{rng.randint(0, 999)}$$" for _ in range(150)), "en", "s") for k in range(5)]
+    rows = [(k, prose(rng, lang, 150), lang, "s") for k, lang in enumerate(["en", "de", "fr", "es"] * 50)]
+    junk = [(1000 + k, " ".join(f"x{rng.randint(0, 9)}##{rng.randint(0, 999)}$$" for _ in range(150)), "en", "s") for k in range(3)]
     other = [(2000, junk[0][1], None, "s"), (2001, junk[0][1], "xx", "s")]  # no reference: base rules only
     kept = {r.doc_id: r.kept for r in quality.score(make(rows + junk + other)).collect()}
     assert all(kept[r[0]] for r in rows) and not any(kept[r[0]] for r in junk) and kept[2000] and kept[2001]

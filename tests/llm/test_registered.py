@@ -6,6 +6,7 @@ import pytest
 
 import corpus_pipeline
 from aqspark.llm import registry
+from aqspark.session import settle
 from twin import differences, twin_connection
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -30,14 +31,14 @@ def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     columns, counts = docs.columns, [docs.count()]
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
-        from aqspark.session import settle
+
 
         docs = settle(stage(spark, docs, SF_DIR))
         counts.append(docs.count())
         assert k == 4 or docs.columns == columns, name
     assert counts[0] > counts[1] > counts[2] == counts[3] and counts[5] > 0
     assert sum(r.length for r in docs.collect()) > 0
-    clash = spark.createDataFrame([], spark.read.parquet(f"{SF_DIR}/documents.parquet").schema)
+    nothing = spark.createDataFrame([], spark.read.parquet(f"{SF_DIR}/documents.parquet").schema)
     for _, stage in corpus_pipeline.STAGES:
-        clash = stage(spark, clash, SF_DIR)
-    assert clash.count() == 0
+        nothing = settle(stage(spark, nothing, SF_DIR))
+    assert nothing.count() == 0
