@@ -10,7 +10,7 @@ from aqspark.functions import calendar, index
 from aqspark.functions.bins import lookup
 from aqspark.operators.quantiles import exact_quantiles
 from aqspark.operators.series import null_safe_join
-from aqspark.session import broadcast_if_small, settle
+from aqspark.session import settle
 
 NUMERIC = ["value", "latitude", "longitude"]
 TIMES = ["timestamp_utc", "timestamp_local"]
@@ -95,11 +95,11 @@ def flag_outliers(
     """Add ``is_outlier``; 'both' marks a row that either test marks."""
     out, tests, extra = df, [], []
     if method in ("iqr", "both"):
-        out = null_safe_join(out, broadcast_if_small(iqr_bounds(df, k, min_rows)), SERIES)
+        out = null_safe_join(out, settle(iqr_bounds(df, k, min_rows)), SERIES)
         tests.append((F.col("value") < F.col("iqr_low")) | (F.col("value") > F.col("iqr_high")))
         extra += ["iqr_low", "iqr_high"]
     if method in ("zscore", "both"):
-        out = null_safe_join(out, broadcast_if_small(zscore_bounds(df, min_rows)), SERIES)
+        out = null_safe_join(out, settle(zscore_bounds(df, min_rows)), SERIES)
         tests.append(F.abs(F.try_divide(F.col("value") - F.col("z_mean"), F.col("z_std"))) > threshold)
         extra += ["z_mean", "z_std"]
     marked = F.lit(False)

@@ -73,11 +73,17 @@ def daily_weather(weather: DataFrame) -> DataFrame:
     )
 
 
+def between(start: str | None, end: str | None, ts: str = "timestamp_utc") -> Column:
+    """From ``start`` on and before ``end``; a bound that is not given bounds nothing."""
+    low = F.lit(True) if start is None else F.col(ts) >= F.lit(start).cast("timestamp")
+    return low if end is None else low & (F.col(ts) < F.lit(end).cast("timestamp"))
+
+
 def kpi_daily(
     readings: DataFrame,
     weather: DataFrame,
-    start: str = "2024-01-01",
-    end: str = "2025-01-01",
+    start: str | None = None,
+    end: str | None = None,
     fanout: bool = False,
     digits: int = 2,
 ) -> DataFrame:
@@ -85,7 +91,8 @@ def kpi_daily(
 
     Weather is reduced to one row per city and day before the join. With
     ``fanout`` the counts and the rain total are those of joining every reading
-    to every weather row of the day, worked out from the two row counts.
+    to every weather row of the day, worked out from the two row counts. Days
+    before ``start`` or from ``end`` on are left out where those are given.
     """
     v, p = F.col("value"), F.col("parameter")
 
@@ -94,7 +101,7 @@ def kpi_daily(
 
     days = (
         valid(readings)
-        .where((F.col("timestamp_utc") >= F.lit(start).cast("timestamp")) & (F.col("timestamp_utc") < F.lit(end).cast("timestamp")))
+        .where(between(start, end))
         .groupBy("city", F.to_date("timestamp_utc").alias("reading_date"))
         .agg(
             F.round(F.avg(only("pm25")), digits).alias("pm25_avg"),
@@ -170,12 +177,12 @@ def exposure_score(readings: DataFrame, as_of: Column, interval: str = "30 DAYS"
     }).drop("_score")
 
 
-def daily_mean_aqi(readings: DataFrame, start: str = "2024-01-01", end: str = "2025-01-01") -> DataFrame:
+def daily_mean_aqi(readings: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
     ts = F.col("timestamp_utc")
     return (
         valid(readings)
         .where(F.col("parameter").isin("aqi", "pm25"))
-        .where((ts >= F.lit(start).cast("timestamp")) & (ts < F.lit(end).cast("timestamp")))
+        .where(between(start, end))
         .groupBy("city", F.to_date(ts).alias("reading_date"))
         .agg(F.avg("value").alias("daily_avg_aqi"))
     )
@@ -199,7 +206,7 @@ def unhealthy_streaks(daily: DataFrame, threshold: float = 200, break_on_gap: bo
 
 
 def unhealthy_days(
-    readings: DataFrame, threshold: float = 200, start: str = "2024-01-01", end: str = "2025-01-01", digits: int = 2
+    readings: DataFrame, threshold: float = 200, start: str | None = None, end: str | None = None, digits: int = 2
 ) -> DataFrame:
     a = F.col("daily_avg_aqi")
     runs = unhealthy_streaks(daily_mean_aqi(readings, start, end), threshold)

@@ -133,23 +133,24 @@ def distribution(df: DataFrame, min_rows: int = 10) -> DataFrame:
     return null_safe_join(stats, medians, ["parameter"])
 
 
-def expected_cities(df: DataFrame) -> DataFrame:
-    return df.sparkSession.createDataFrame([(c,) for c in dims.EXPECTED_CITIES], "city string")
+def expected_cities(df: DataFrame, cities: list[str] | None = None) -> DataFrame:
+    return df.sparkSession.createDataFrame([(c,) for c in cities or dims.EXPECTED_CITIES], "city string")
 
 
 def present_cities(df: DataFrame) -> DataFrame:
     return df.where(F.col("city").isNotNull()).select("city").distinct()
 
 
-def missing_cities(df: DataFrame) -> DataFrame:
-    return expected_cities(df).join(present_cities(df), "city", "left_anti")
+def missing_cities(df: DataFrame, cities: list[str] | None = None) -> DataFrame:
+    return expected_cities(df, cities).join(present_cities(df), "city", "left_anti")
 
 
-def coverage(df: DataFrame) -> DataFrame:
-    n = float(len(dims.EXPECTED_CITIES))
+def coverage(df: DataFrame, cities: list[str] | None = None) -> DataFrame:
+    cities = cities or dims.EXPECTED_CITIES
+    n = float(len(cities))
     # at most one row per expected city
-    found = present_cities(df).where(F.col("city").isin(dims.EXPECTED_CITIES))
-    expected = F.array(*[F.lit(c) for c in dims.EXPECTED_CITIES])
+    found = present_cities(df).where(F.col("city").isin(list(cities)))
+    expected = F.array(*[F.lit(c) for c in cities])
     return found.agg(
         F.count(F.lit(1)).alias("present_cities"),
         F.array_sort(F.array_except(expected, F.collect_set("city"))).alias("missing_cities"),
@@ -242,10 +243,13 @@ def check_not_empty(df: DataFrame) -> DataFrame:
     return check_row(m, "data_empty", F.col("rows") > 0, m.columns, "critical")
 
 
-def expectations(df: DataFrame, rules: list[tuple[str, Column, float]] | None = None) -> DataFrame:
+def expectations(
+    df: DataFrame, rules: list[tuple[str, Column, float]] | None = None, min_rows: int = 1, max_rows: int | None = None
+) -> DataFrame:
     """Rules (name, condition, share of rows that must meet it), all in one pass.
 
     Pass own rules to extend the suite. An unknown condition counts as unmet.
+    The number of rows has no upper bound unless ``max_rows`` gives one.
     """
     rules = rules or [
         ("city_not_null", F.col("city").isNotNull(), 0.99),
@@ -255,10 +259,11 @@ def expectations(df: DataFrame, rules: list[tuple[str, Column, float]] | None =
     shares = df.agg(
         F.count(F.lit(1)).alias("_rows"), *[F.avg(flag(c)).alias(n) for n, c, _ in rules]
     )
+    in_bounds = F.col("_rows") >= min_rows
     rows = F.struct(
         F.lit("row_count").alias("name"),
         F.col("_rows").cast("double").alias("observed"),
-        F.col("_rows").between(1, 10_000_000).alias("passed"),
+        (in_bounds if max_rows is None else in_bounds & (F.col("_rows") <= max_rows)).alias("passed"),
     )
     structs = [rows] + [
         F.struct(F.lit(n).alias("name"), F.col(n).alias("observed"), (F.col(n) >= share).alias("passed"))

@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from aqspark.session import broadcast_if_small, settle
+from aqspark.session import settle
 
 MIN_BLOCK = 4096
 EWM_BLOCK = 256
@@ -38,8 +38,10 @@ def _series_id(keys: list[str]) -> Column:
     Windows and joins that use it, with a block number, share one partitioning;
     a null-safe comparison of the key columns would force another shuffle.
     """
-    parts = [F.coalesce(F.concat(F.lit("="), F.col(k).cast("string")), F.lit("-")) for k in keys]
-    return F.concat_ws("\u0001", *parts) if parts else F.lit("")
+    # each value follows its length, so no value can pass for several
+    text = lambda k: F.col(k).cast("string")
+    parts = [F.coalesce(F.concat(F.length(text(k)).cast("string"), F.lit(":"), text(k)), F.lit("-")) for k in keys]
+    return F.concat(*parts) if parts else F.lit("")
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
@@ -81,7 +83,7 @@ def with_position(df: DataFrame, keys: list[str], order: list) -> DataFrame:
         F.sum("_len").over(per_key).alias("_n"),
     )
     return (
-        stored.join(broadcast_if_small(runs), ["_sid", "_part"])
+        stored.join(runs, ["_sid", "_part"])
         .withColumn("_pos", F.col("_row") + F.col("_shift"))
         .drop("_sid", "_part", "_row", "_shift")
     )

@@ -85,13 +85,13 @@ def by_horizon(t):
 @query("a27_accuracy_alerts", RECENT + """,
 bl AS (SELECT city, model_name, avg(abs(e)) AS b FROM fe GROUP BY 1, 2),
 m AS (SELECT ra.city, ra.model_name, mae, abs(bias) AS ab, b FROM ra JOIN bl USING (city, model_name))
-SELECT city, model_name, 'high_mae' AS alert_type, round(mae, 6) AS value, 15e0 AS threshold FROM m WHERE mae > 15
-UNION ALL SELECT city, model_name, 'high_bias', round(ab, 6), 1e0 FROM m WHERE ab > 1
-UNION ALL SELECT city, model_name, 'degradation', round((mae - b) / b * 100, 6), 2e0 FROM m WHERE b > 0 AND (mae - b) / b * 100 > 2""")
+SELECT city, model_name, 'high_mae' AS alert_type, round(mae, 6) AS value, 30e0 AS threshold FROM m WHERE mae > 30
+UNION ALL SELECT city, model_name, 'high_bias', round(ab, 6), 15e0 FROM m WHERE ab > 15
+UNION ALL SELECT city, model_name, 'degradation', round((mae - b) / b * 100, 6), 2e1 FROM m WHERE b > 0 AND (mae - b) / b * 100 > 20""")
 def alerts(t):
     base = ac.scored(t.predictions).groupBy("city", "model_name").agg(F.avg(F.abs("error")).alias("baseline_mae"))
     now = ac.recent_accuracy(t.predictions, ORDER).join(base, ["city", "model_name"])
-    return rounded(ac.accuracy_alerts(now, max_mae=15, max_bias=1, degradation_pct=2))
+    return rounded(ac.accuracy_alerts(now))
 
 
 @query("a28_tracking_summary", """

@@ -293,9 +293,9 @@ def error_log(t):
     )
 
 
-@query("l04_latest_errors", ERROR_LOG + f" SELECT * FROM el WHERE timestamp >= {T} - INTERVAL 10 DAY ORDER BY timestamp DESC, event_id DESC LIMIT 50")
+@query("l04_latest_errors", ERROR_LOG + f" SELECT * FROM el WHERE timestamp >= {T} - INTERVAL 24 HOUR ORDER BY timestamp DESC, event_id DESC LIMIT 50")
 def latest_errors(t):
-    rows = marts.since(error_log(t), as_of(), "10 DAYS", ts="timestamp")
+    rows = marts.since(error_log(t), as_of(), "24 HOURS", ts="timestamp")
     return rows.orderBy(F.col("timestamp").desc(), F.col("event_id").desc()).limit(50)
 
 

@@ -59,6 +59,9 @@ def rolling_median(t):
     return rounded(out.select("reading_id", *[f"value_roll_median_{n}h" for n in dims.ROLLING_WINDOWS]))
 
 
+EMA_SPANS = [3, 6, 12, 24, 48, 168]
+
+
 # the twin sums over each row's last rows in closed form: weights below 1e-12 are left out
 def _ema_sql(span: int, rows: int) -> str:
     d = 1.0 - 2.0 / (span + 1.0)
@@ -68,10 +71,10 @@ def _ema_sql(span: int, rows: int) -> str:
 
 
 @query("w04_exponential_mean", f"n AS (SELECT *, row_number() OVER ({BY_SERIES}) AS rn FROM readings), "
-       + _ema_sql(3, 45) + ", " + _ema_sql(24, 360) + """
-SELECT reading_id, round(e3.ema, 6) AS value_ema_3h, round(e24.ema, 6) AS value_ema_24h FROM e3 JOIN e24 USING (reading_id)""")
+       + ", ".join(_ema_sql(s, 15 * s) for s in EMA_SPANS) + " SELECT reading_id, " + ", ".join(f"round(e{s}.ema, 6) AS value_ema_{s}h" for s in EMA_SPANS)
+       + " FROM e3 " + " ".join(f"JOIN e{s} USING (reading_id)" for s in EMA_SPANS[1:]))
 def ema(t):
-    return named(ft.ema_features(series_rows(t), spans=[3, 24]))
+    return named(ft.ema_features(series_rows(t), spans=EMA_SPANS))
 
 
 def weather_series(t):

@@ -242,14 +242,26 @@ def quarantine(t):
         t.readings.select("reading_id", "value"), "reading_id").select("reading_id", "value", "parameter")
 
 
-@query("k07_retention_tiers", f"""
-SELECT city, parameter, timestamp_utc, round(value, 6) AS value, CAST(1 AS BIGINT) AS readings, 'raw' AS tier FROM readings WHERE timestamp_utc >= TIMESTAMP '{AS_OF}' - INTERVAL 5 DAY
-UNION ALL SELECT city, parameter, date_trunc('hour', timestamp_utc), round(avg(value), 6), count(*), 'hourly' FROM readings
-  WHERE timestamp_utc < TIMESTAMP '{AS_OF}' - INTERVAL 5 DAY AND timestamp_utc >= TIMESTAMP '{AS_OF}' - INTERVAL 15 DAY GROUP BY 1, 2, 3
-UNION ALL SELECT city, parameter, date_trunc('day', timestamp_utc), round(avg(value), 6), count(*), 'daily' FROM readings
-  WHERE timestamp_utc < TIMESTAMP '{AS_OF}' - INTERVAL 15 DAY AND timestamp_utc >= TIMESTAMP '{AS_OF}' - INTERVAL 25 DAY GROUP BY 1, 2, 3""")
+# years of readings: one for each order, on its day
+LONG_AS_OF = "2000-01-01"
+LONG = """lr AS (SELECT 'city-' || o_custkey % 10 AS city, o_orderstatus AS parameter, CAST(o_totalprice AS DOUBLE) AS value,
+  CAST(o_orderdate AS TIMESTAMP) + to_hours(CAST(o_orderkey % 24 AS INTEGER)) AS timestamp_utc FROM orders)"""
+
+
+def long_readings(t):
+    return t.raw("orders").select(
+        F.concat(F.lit("city-"), F.col("o_custkey") % 10).alias("city"), F.col("o_orderstatus").alias("parameter"), F.col("o_totalprice").cast("double").alias("value"),
+        (F.col("o_orderdate").cast("timestamp") + F.make_dt_interval(hours=(F.col("o_orderkey") % 24).cast("int"))).alias("timestamp_utc"),
+    )
+
+
+@query("k07_retention_tiers", LONG + f"""
+SELECT city, parameter, timestamp_utc, round(value, 6) AS value, CAST(1 AS BIGINT) AS readings, 'raw' AS tier FROM lr WHERE timestamp_utc >= TIMESTAMP '{LONG_AS_OF}' - INTERVAL 30 DAY
+UNION ALL SELECT city, parameter, date_trunc('hour', timestamp_utc), round(avg(value), 6), count(*), 'hourly' FROM lr
+  WHERE timestamp_utc < TIMESTAMP '{LONG_AS_OF}' - INTERVAL 30 DAY AND timestamp_utc >= TIMESTAMP '{LONG_AS_OF}' - INTERVAL 365 DAY GROUP BY 1, 2, 3
+UNION ALL SELECT city, parameter, date_trunc('day', timestamp_utc), round(avg(value), 6), count(*), 'daily' FROM lr
+  WHERE timestamp_utc < TIMESTAMP '{LONG_AS_OF}' - INTERVAL 365 DAY AND timestamp_utc >= TIMESTAMP '{LONG_AS_OF}' - INTERVAL 730 DAY GROUP BY 1, 2, 3""")
 def retention(t):
-    # tiers shortened to fit a month of data
-    return rounded(rules.retention(t.readings, as_of(), raw_days=5, hourly_days=15, keep_days=25))
+    return rounded(rules.retention(long_readings(t), F.lit(LONG_AS_OF).cast("timestamp")))
 
 

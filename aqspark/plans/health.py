@@ -216,9 +216,10 @@ def index_rows(t):
     return ix(t).select("reading_id", "parameter", "value")
 
 
-@query("p04_fallback_to_all", "SELECT reading_id, parameter, value FROM readings WHERE parameter NOT IN ('aqi', 'pm25')")
+@query("p04_fallback_to_all", "SELECT reading_id, parameter || '_raw' AS parameter, value FROM readings")
 def fallback_rows(t):
-    others = t.readings.where(~F.col("parameter").isin("aqi", "pm25"))
+    # a feed that names its parameters otherwise has no index rows, so all of its rows serve
+    others = t.readings.withColumn("parameter", F.concat("parameter", F.lit("_raw")))
     return health.index_readings(others).select("reading_id", "parameter", "value")
 
 

@@ -1,7 +1,9 @@
-"""Streaming queries: the event file as a stream, run until all of it is processed."""
+"""Streaming queries: the events, landed as files of four time ranges, as a stream of four batches."""
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from aqspark.plans.registry import query
 from aqspark.plans.tables import AS_OF, EVENT_SCHEMA, Tables, as_of
 from aqspark.streaming import cooldown, jobs
 
+BATCHES, LANDED_FILES = 4, 4
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -23,7 +26,18 @@ class StreamTables(Tables):
     def raw(self, name: str) -> DataFrame:
         if name != "events":
             return super().raw(name)
-        return jobs.read_stream(self.spark, self.sf_dir, EVENT_SCHEMA, pathGlobFilter="events.parquet")
+        return jobs.read_stream(self.spark, self.landed, EVENT_SCHEMA, maxFilesPerTrigger=LANDED_FILES)
+
+    @cached_property
+    def landed(self) -> str:
+        """All events, landed range by range in order of time, ``LANDED_FILES`` files for each range."""
+        path = f"{work_path(self)}/landed"
+        events = super().raw("events")
+        first, last = events.agg(F.unix_micros(F.min("ts")), F.unix_micros(F.max("ts"))).first()
+        batch = F.least(F.lit(BATCHES - 1), F.floor((F.unix_micros("ts") - first) * BATCHES / max(last - first, 1)))
+        for k in range(BATCHES):
+            events.where(batch == k).repartition(LANDED_FILES).write.mode("append").parquet(path)
+        return path
 
 
 def stream(t) -> StreamTables:
@@ -69,9 +83,16 @@ def sliding(t):
     return jobs.sliding_unhealthy_hours(t.readings)
 
 
-@query("t03_sliding_stream")
+@query("t03_sliding_stream", """
+h AS (SELECT city, parameter, value, date_trunc('hour', timestamp_utc) AS hb FROM readings),
+s AS (SELECT city, parameter, value, hb - to_hours(CAST(g AS INTEGER)) AS window_start FROM h, generate_series(0, 23) q(g))
+SELECT city, parameter, window_start, window_start + INTERVAL 24 HOUR AS window_end, count(*) FILTER (WHERE value > 200) AS unhealthy_hours,
+  count(*) FILTER (WHERE value > 300) AS very_poor_hours, count(*) FILTER (WHERE value > 400) AS severe_hours, count(*) AS total_hours FROM s
+WHERE window_start + INTERVAL 24 HOUR <= (SELECT max(timestamp_utc) - INTERVAL 2 HOUR FROM readings) GROUP BY 1, 2, 3""")
 def sliding_stream(t):
-    return finish(t, jobs.sliding_stream(stream(t).readings))
+    out = finish(t, jobs.sliding_stream(stream(t).readings))
+    return out.select("city", "parameter", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
+                      "unhealthy_hours", "very_poor_hours", "severe_hours", "total_hours")
 
 
 @query("t04_deduplicate_stream", "SELECT DISTINCT city, location, parameter, timestamp_utc, value FROM readings")
@@ -118,8 +139,8 @@ def reporting_sessions(t):
 
 @query("t06_session_stream")
 def session_stream(t):
-    poor = stream(t).readings.where(F.col("value") > 200)
-    return finish(t, jobs.session_stream(poor, ["city", "location"]))
+    poor = stream(t).readings.where(F.col("parameter").isin("aqi", "pm25") & (F.col("value") > 200))
+    return finish(t, jobs.session_stream(poor, ["city"]))
 
 
 @query("t07_feed_health", ERROR_LOG + f""",
@@ -139,11 +160,18 @@ def late_actuals(t):
     return finish(t, jobs.attach_actuals_stream(f, a))
 
 
-@query("t09_checks_per_batch", "SELECT 'completeness' AS name, true AS passed, 'info' AS severity, 'readings' AS dataset_name UNION ALL SELECT 'uniqueness', (SELECT sum(n - 1) / sum(n) <= 1e-2 FROM (SELECT count(*) AS n FROM readings GROUP BY city, location, parameter, timestamp_utc)), 'info', 'readings'")
+@query("t09_checks_per_batch", """
+b AS (SELECT *, least(3, CAST(floor((epoch_us(timestamp_utc) - (SELECT epoch_us(min(timestamp_utc)) FROM readings)) * 4.0e0
+    / (SELECT epoch_us(max(timestamp_utc)) - epoch_us(min(timestamp_utc)) FROM readings)) AS INTEGER)) AS batch FROM readings),
+c AS (SELECT batch, (round(count(city) / count(*), 4) + round(count(parameter) / count(*), 4) + round(count(value) / count(*), 4)
+    + round(count(timestamp_utc) / count(*), 4)) / 4 >= 95e-2 AS ok FROM b GROUP BY batch),
+u AS (SELECT batch, sum(n - 1) / sum(n) <= 1e-2 AS ok FROM (SELECT batch, count(*) AS n FROM b GROUP BY batch, city, location, parameter, timestamp_utc) GROUP BY batch)
+SELECT 'completeness' AS name, ok AS passed, CASE WHEN ok THEN 'info' ELSE 'critical' END AS severity, 'readings' AS dataset_name, batch FROM c
+UNION ALL SELECT 'uniqueness', ok, CASE WHEN ok THEN 'info' ELSE 'warning' END, 'readings', batch FROM u""")
 def batch_checks(t):
     path = work_path(t)
     checks = lambda b: quality.check_completeness(b).unionByName(quality.check_uniqueness(b))
     write = jobs.check_batch_writer(f"{path}/out", "readings", checks)
     q = stream(t).readings.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/state")
     q.trigger(availableNow=True).start().awaitTermination()
-    return t.spark.read.parquet(f"{path}/out").select("name", "passed", "severity", "dataset_name")
+    return t.spark.read.parquet(f"{path}/out").select("name", "passed", "severity", "dataset_name", "batch")

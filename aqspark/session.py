@@ -1,15 +1,10 @@
-"""Session settings, reliable checkpoints and size-checked broadcasts."""
+"""Session settings and stored steps."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# A side is broadcast only when a count has shown it holds at most this many rows.
-BROADCAST_ROW_LIMIT = 200_000
 
 
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -29,17 +24,16 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkS
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; make one only in local mode."""
+    """Use the folder of ``spark.checkpoint.dir``; where it is unset, one beside the warehouse's tables.
+
+    Both are folders that all executors share. What is stored there is the
+    cluster's to clean, since a returned frame may still read it.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        sc.setCheckpointDir(shared)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="aqspark-ckpt-"))
-    else:
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    sc.setCheckpointDir(shared or f"{spark.conf.get('spark.sql.warehouse.dir')}/_stored")
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -55,14 +49,3 @@ def settle(df: DataFrame) -> DataFrame:
     path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4()}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Broadcast ``df`` only after a count has shown that it is small.
-
-    Past the limit the frame is returned without a hint; the join then shuffles
-    and adaptive execution splits skewed partitions.
-    """
-    stored = settle(df)
-    small = stored.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(stored) if small else stored

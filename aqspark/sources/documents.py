@@ -25,9 +25,10 @@ def latest_snapshot(df: DataFrame, column: str = "ingest_ts") -> DataFrame:
 
 def read_latest_csv(spark: SparkSession, directory: str, schema: str, prefix: str = "") -> DataFrame:
     """Newest CSV file of a folder by name."""
-    rows = spark.read.schema(schema).option("header", True).csv(f"{directory}/{prefix}*.csv")
-    named = rows.withColumn("_file", F.col("_metadata.file_name"))
-    return named.where(F.col("_file") == named.agg(F.max("_file")).scalar()).drop("_file")
+    # only names are listed: without its content column this source opens no file
+    names = spark.read.format("binaryFile").load(f"{directory}/{prefix}*.csv").select("path")
+    newest = names.agg(F.max_by("path", F.element_at(F.split("path", "/"), -1))).first()[0]
+    return spark.read.schema(schema).option("header", True).csv(newest)
 
 
 # --- measurements ---
@@ -116,8 +117,10 @@ def parse_stations(docs: DataFrame, fetched_at: str = "fetched_at") -> DataFrame
     return whole.select(*cols).unionByName(parts.select(*cols))
 
 
+# fixed value: the script variable of the station page
 EMBEDDED_JSON = r"(?s)var\s+aqiData\s*=\s*(\[.*?\]);"
-STATION_ROW = r"(?s)<tr[^>]*>.*?([A-Za-z\s,]+).*?(\d+).*?</tr>"
+#: A cell without digits and, in the same row, the next cell that is a number.
+STATION_ROW = r"(?s)<td[^>]*>\s*([^<>\d]*[^<>\d\s])\s*</td>(?:(?!</tr>).)*?<td[^>]*>\s*(\d+)\s*</td>"
 
 
 def parse_html(docs: DataFrame, id_column: str, html: str = "html", row_pattern: str = STATION_ROW) -> DataFrame:

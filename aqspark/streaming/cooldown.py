@@ -77,6 +77,11 @@ def triggers(matches: DataFrame) -> DataFrame:
 
 
 def to_subscribers(alerts: DataFrame, subscriptions: DataFrame, users: DataFrame) -> DataFrame:
-    """One row per alert and active subscription whose user is not suspended."""
+    """One row per alert and active subscription whose user is not suspended.
+
+    A subscription gets the alerts from its creation on. The cooldown belongs to
+    the rule, so one created inside it first hears of the next alert.
+    """
     active = subscriptions.where("active").join(users.where(~F.col("is_suspended")), "user_id", "left_semi")
-    return alerts.join(active.select("subscription_id", "user_id", "channel", *RULE), RULE)
+    joined = alerts.join(active.select("subscription_id", "user_id", "channel", "created_at", *RULE), RULE)
+    return joined.where("created_at <= triggered_at").drop("created_at")

@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from aqspark.functions.bins import flag
 from aqspark.operators.clean import READING_KEY, source_priority
+from aqspark.session import settle
 
 WATERMARK = "2 hours"
 
@@ -78,7 +80,10 @@ def sliding_stream(df: DataFrame, length: str = "24 hours", slide: str = "1 hour
     v = F.col("value")
     return df.withWatermark("timestamp_utc", watermark).groupBy(
         F.window("timestamp_utc", length, slide).alias("w"), "city", "parameter"
-    ).agg(F.count_if(v > 200).alias("unhealthy_hours"), F.count(F.lit(1)).alias("total_hours"))
+    ).agg(
+        F.count_if(v > 200).alias("unhealthy_hours"), F.count_if(v > 300).alias("very_poor_hours"), F.count_if(v > 400).alias("severe_hours"),
+        F.count(F.lit(1)).alias("total_hours"),
+    )
 
 
 def deduplicate_stream(df: DataFrame, watermark: str = WATERMARK) -> DataFrame:
@@ -86,13 +91,27 @@ def deduplicate_stream(df: DataFrame, watermark: str = WATERMARK) -> DataFrame:
     return df.withWatermark("timestamp_utc", watermark).dropDuplicatesWithinWatermark(READING_KEY)
 
 
-def priority_batch_writer(path: str, tiebreak: str) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` writer that keeps the best source per key within each batch."""
+def priority_batch_writer(path: str, tiebreak: str, ts: str = "timestamp_utc") -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` writer that keeps the best source per key over all batches.
+
+    The table is partitioned by day. A batch's rows are reduced together with
+    the stored rows of its days, and those days are written again. The reduced
+    rows are stored first, so nothing is overwritten while it is read, and a
+    batch that runs twice leaves the same table.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
-        best = F.min_by(F.struct(*batch.columns), F.struct(source_priority(), F.coalesce("source", F.lit("")), tiebreak))
-        rows = batch.groupBy(*[F.col(k).alias(f"_k_{k}") for k in READING_KEY]).agg(best.alias("_b")).select("_b.*")
-        # one folder per batch, so a batch run again after a failure replaces itself
-        rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        rows = batch.withColumn("event_date", F.to_date(ts))
+        try:
+            old = batch.sparkSession.read.schema(rows.schema).parquet(path)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+        else:
+            days = rows.select("event_date").distinct()
+            rows = rows.unionByName(old.join(days, "event_date", "left_semi"))
+        best = F.min_by(F.struct(*rows.columns), F.struct(source_priority(), F.coalesce("source", F.lit("")), tiebreak))
+        kept = settle(rows.groupBy(*[F.col(k).alias(f"_k_{k}") for k in READING_KEY]).agg(best.alias("_b")).select("_b.*"))
+        kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_date").parquet(path)
 
     return write
 
@@ -103,6 +122,7 @@ def check_batch_writer(path: str, dataset: str, checks: Callable[[DataFrame], Da
         stored = batch.persist()
         try:
             rows = checks(stored).withColumn("dataset_name", F.lit(dataset))
+            # one folder per batch, so a batch run again after a failure replaces itself
             rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
         finally:
             stored.unpersist()

@@ -36,7 +36,7 @@ def test_html_rows_and_json(spark):
     table = '<table><tr class="x"><td>Anand Vihar</td><td>312</td></tr><tr><td>ITO</td><td>200</td></tr></table>'
     script = 'var aqiData = [{"stationName": "RK Puram", "aqi": "88"}];' + table
     df = spark.createDataFrame([(1, table), (2, script)], "id int, html string")
-    rows = docs.parse_html(df, "id", row_pattern=r"(?s)<tr[^>]*>\s*<td>([A-Za-z\s,]+)</td>\s*<td>(\d+)</td>\s*</tr>").collect()
+    rows = docs.parse_html(df, "id").collect()
     got = sorted((r.id, r.location, r.value) for r in rows)
     assert got == [(1, "Anand Vihar", 312.0), (1, "ITO", 200.0), (2, "RK Puram", 88.0)]
 
@@ -84,7 +84,7 @@ def test_cooldown_over_many_batches(spark, tmp_path):
     subs = spark.createDataFrame(
         [(1, 1, "AQI>150", "Delhi", "hourly", "email", True), (2, 2, "AQI>150", "Delhi", "hourly", "sms", True), (3, 1, "AQI>300", "Delhi", "daily", "push", True)],
         "subscription_id int, user_id int, condition string, location string, frequency string, channel string, active boolean",
-    )
+    ).withColumn("created_at", F.lit(T0))
     users = spark.createDataFrame([(1, False), (2, True)], "user_id int, is_suspended boolean")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass",
                    "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -106,3 +106,26 @@ def test_cooldown_over_many_batches(spark, tmp_path):
     assert got("AQI>300") == brute(300, dt.timedelta(days=1))
     sent = cooldown.to_subscribers(alerts, subs, users)
     assert {r.subscription_id for r in sent.collect()} == {1, 3}
+
+
+def test_better_source_of_a_later_batch_wins(spark, tmp_path):
+    schema = "reading_id int, city string, location string, parameter string, value double, timestamp_utc timestamp, source string"
+    row = lambda i, source, day=0: (i, "Delhi", "S", "aqi", float(i), T0 + dt.timedelta(days=day), source)
+    write = jobs.priority_batch_writer(str(tmp_path / "best"), "reading_id")
+    write(spark.createDataFrame([row(1, "openaq"), row(2, "openaq", 1)], schema), 0)
+    for _ in range(2):  # a batch may run again
+        write(spark.createDataFrame([row(3, "cpcb"), row(4, "manual", 1), row(5, "manual", 2)], schema), 1)
+    assert sorted(r.reading_id for r in spark.read.parquet(str(tmp_path / "best")).collect()) == [2, 3, 5]
+
+
+def test_alerts_start_with_the_subscription(spark):
+    alerts = spark.createDataFrame([("Delhi", "AQI>1", "daily", T0 + dt.timedelta(days=d)) for d in (0, 2)], "location string, condition string, frequency string, triggered_at timestamp")
+    subs = spark.createDataFrame([(1, 1, "AQI>1", "Delhi", "daily", "sms", True, T0 + dt.timedelta(days=1))],
+                                 "subscription_id int, user_id int, condition string, location string, frequency string, channel string, active boolean, created_at timestamp")
+    users = spark.createDataFrame([(1, False)], "user_id int, is_suspended boolean")
+    assert [r.triggered_at for r in cooldown.to_subscribers(alerts, subs, users).collect()] == [T0 + dt.timedelta(days=2)]
+
+
+def test_default_row_pattern(spark):
+    df = spark.createDataFrame([(1, "<table><tr><td>Anand Vihar</td><td>312</td></tr><tr><td class=x>ITO, Delhi</td><td>note</td><td>5</td></tr></table>")], "id int, html string")
+    assert [(r.location, r.value) for r in docs.parse_html(df, "id").collect()] == [("Anand Vihar", 312.0), ("ITO, Delhi", 5.0)]

@@ -205,3 +205,22 @@ def test_equal_mean_shift_is_found_and_noise_is_not(spark):
     ref = frame(100, 500)
     assert feature_drift(ref, frame(150, 200), ["aqi"]).first().ks_drift_detected
     assert not feature_drift(ref, frame(102, 200), ["aqi"]).first().ks_drift_detected
+
+
+def test_accuracy_alert_limits(spark):
+    rows = [("A", 31.0, 0.0, 31.0), ("B", 10.0, -16.0, 10.0), ("C", 13.0, 1.0, 10.0), ("D", 30.0, 15.0, 25.0)]
+    now = spark.createDataFrame(rows, "city string, mae double, bias double, baseline_mae double").withColumn("model_name", F.lit("m"))
+    assert sorted((r.city, r.alert_type) for r in accuracy.accuracy_alerts(now).collect()) == [("A", "high_mae"), ("B", "high_bias"), ("C", "degradation")]
+
+
+def test_row_count_has_no_upper_bound_by_default(spark):
+    df = spark.createDataFrame([("A", 1.0, "aqi")], "city string, value double, parameter string")
+    passed = lambda **k: {r.name: r.passed for r in quality.expectations(df, **k).collect()}["row_count"]
+    assert passed() and passed(max_rows=1) and not passed(max_rows=0) and not passed(min_rows=2)
+
+
+def test_series_keys_with_separators_differ(spark):
+    from aqspark.operators.series import with_position
+
+    df = spark.createDataFrame([("x\u0001=y", "z"), ("x", "y\u0001=z"), ("1:x", "y"), ("1", "x1:y")], "a string, b string")
+    assert {r["_n"] for r in with_position(df, ["a", "b"], ["a"]).collect()} == {1}
