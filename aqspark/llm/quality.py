@@ -88,14 +88,15 @@ def histograms(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFra
         out = out.withColumn(f"_s{k}", F.regexp_replace(f"_s{k - 1}", pattern, ""))
     sizes = [F.length(f"_s{k}") for k in range(CLASSES)]
     classes = F.array(*(a - b for a, b in zip(sizes, sizes[1:])), sizes[-1])
-    out = out.withColumns({"_classes": classes.cast("array<double>"), "_runs": F.concat(F.lit(" "), F.regexp_replace(F.lower(whole), r"[^\p{L}]+", "  "), F.lit(" "))})
+    out = out.withColumns({"_classes": classes.cast("array<double>"), "_runs": F.btrim(F.regexp_replace(F.lower(whole), r"[^\p{L}]+", "  "), F.lit(" "))})
+    out = out.withColumn("_runs", F.concat(F.lit(" "), "_runs", F.lit(" ")))
     runs, found = F.col("_runs"), F.lit(None).cast("array<double>")
-    # letter runs stand between two blanks, so each has its own pair
-    total = F.length(runs) - F.length(F.replace(runs, F.lit("  "), F.lit(" ")))
+    # two blanks between letter runs, so each has its own
+    total = F.when(runs == "  ", F.lit(0)).otherwise(F.length(runs) - F.length(F.replace(runs, F.lit("  "), F.lit(" "))) + 1)
     for code, common in COMMON_WORDS.items():
         counts = [(F.length(runs) - F.length(F.replace(runs, F.lit(f" {w} "), F.lit("")))) / (len(w) + 2) for w in common]
         found = F.when(F.col(f"`{lang}`") == code, F.array(*counts).cast("array<double>")).otherwise(found)
-    out = out.withColumns({"_common": found, "_n_runs": F.greatest(total - 1, F.lit(0)).cast("double")})
+    out = out.withColumns({"_common": found, "_n_runs": total.cast("double")})
     rest = F.greatest(F.col("_n_runs") - F.aggregate("_common", F.lit(0.0), lambda s, x: s + x), F.lit(0.0))
     out = out.withColumn("_common", F.concat("_common", F.array(rest)))
     return out.drop(*(f"_s{k}" for k in range(CLASSES)), "_runs")

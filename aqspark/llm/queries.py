@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aqspark.llm import htmltext, language, mixing, packing, projections, quality, secrets, simhash, substrings, warc
+from aqspark.llm import htmltext, language, mixing, packing, projections, quality, secrets, simhash, substrings, twins, warc
 from aqspark.llm.registry import register
 
 
@@ -36,17 +36,18 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@register("op7_source_mix")
+@register("op7_source_mix", twins.mixing_twin())
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.document_totals(mixing.mix(documents(spark, sf_dir)))
 
 
-@register("op9_quality_rules")
+@register("op9_quality_rules", twins.quality_twin())
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.score(documents(spark, sf_dir))
+    out = quality.score(documents(spark, sf_dir))
+    return out.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
 
 
-@register("op5_substring_dedup")
+@register("op5_substring_dedup", twins.REPEATS)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substrings.remove_repeats(documents(spark, sf_dir))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
