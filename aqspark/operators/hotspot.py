@@ -31,23 +31,33 @@ def _cell_degrees(band: Column, side_km: float) -> Column:
     return F.lit(side_km / KM_PER_DEGREE) / F.greatest(F.cos(F.radians(nearest)), F.lit(0.01))
 
 
+def _east(lon: Column) -> Column:
+    """Degrees east of the 180° meridian, 0 to 360."""
+    return F.pmod(lon + 180, F.lit(360.0))
+
+
 def _cell(lat: Column, lon: Column, side_km: float) -> Column:
     band = _band(lat, side_km)
-    return F.struct(band.alias("b"), F.floor((lon + 180) / _cell_degrees(band, side_km)).alias("c"))
+    return F.struct(band.alias("b"), F.floor(_east(lon) / _cell_degrees(band, side_km)).alias("c"))
 
 
 def cells_within(lat: Column, lon: Column, radius_km: float, side_km: float) -> Column:
     """All cells that can hold a point within ``radius_km``; a handful whatever the data."""
     reach = math.ceil(radius_km / side_km)
     angle = radius_km / EARTH_RADIUS_KM
-    edge = F.least(F.abs(lat) + F.lit(radius_km / KM_PER_DEGREE), F.lit(89.0))
-    span = F.degrees(F.asin(F.least(F.lit(math.sin(angle)) / F.cos(F.radians(edge)), F.lit(1.0)))) + 1e-9
+    edge = F.least(F.abs(lat) + F.lit(radius_km / KM_PER_DEGREE), F.lit(90.0))
+    ratio = F.lit(math.sin(angle)) / F.greatest(F.cos(F.radians(edge)), F.lit(1e-12))
+    # around a pole any longitude can be near
+    span = F.when(ratio >= 1, F.lit(180.0)).otherwise(F.degrees(F.asin(F.least(ratio, F.lit(1.0))))) + 1e-9
 
     def in_band(d: Column) -> Column:
         band = _band(lat, side_km) + d
         width = _cell_degrees(band, side_km)
-        lo, hi = F.floor((lon + 180 - span) / width), F.floor((lon + 180 + span) / width)
-        return F.transform(F.sequence(lo, hi), lambda c: F.struct(band.alias("b"), c.alias("c")))
+        n, x = F.ceil(F.lit(360.0) / width), _east(lon)
+        # past the meridian cells count on; the last one there may be narrower than the others
+        lo = F.when(x < span, -2 - F.floor((span - x) / width)).otherwise(F.floor((x - span) / width))
+        hi = F.when(x + span >= 360, n + F.floor((x + span - 360) / width)).otherwise(F.floor((x + span) / width))
+        return F.transform(F.sequence(F.greatest(lo, hi - n + 1), hi), lambda c: F.struct(band.alias("b"), F.pmod(c, n).alias("c")))
 
     return F.flatten(F.transform(F.sequence(F.lit(-reach), F.lit(reach)), in_band))
 

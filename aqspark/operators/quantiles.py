@@ -36,12 +36,3 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str | Column, probs:
         lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
         cols.append((lo + (hi - lo) * (rank - F.floor(rank))).alias(name))
     return out.select(*keys, *cols)
-
-
-def histogram_percentile(value: str, count: str, p: float) -> Column:
-    """Percentile inside an aggregation over (value, count) rows.
-
-    For groups whose distinct values are few by their schema: a reading is
-    DECIMAL(10,3) within 0..1000, so a group has at most a million of them.
-    """
-    return F.percentile(F.col(value), F.lit(p), F.col(count))

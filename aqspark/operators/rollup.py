@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from aqspark import dims
 from aqspark.functions import index
 from aqspark.functions.bins import flag
-from aqspark.operators.quantiles import histogram_percentile
+from aqspark.operators.quantiles import exact_quantiles
 from aqspark.operators.series import null_safe_join
 
 PERIODS = {
@@ -38,10 +38,11 @@ AGGREGATES = {
 }
 
 
-def _medians(df: DataFrame, keys: list[str], column: str) -> DataFrame:
-    """Median per key over counted values: equal values merge before the shuffle."""
-    hist = df.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count(F.lit(1)).alias("_w"))
-    return hist.groupBy(*keys).agg(histogram_percentile(column, "_w", 0.5).alias(f"{column}_median"))
+def _medians(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Medians of all columns per key from one pass over (column, value) rows; no task holds a group."""
+    pairs = F.array(*(F.struct(F.lit(c).alias("_column"), F.col(c).cast("double").alias("_value")) for c in columns))
+    rows = exact_quantiles(df.select(*keys, F.inline(pairs)), [*keys, "_column"], "_value", {"_median": 0.5})
+    return rows.groupBy(*keys).agg(*(F.max(F.when(F.col("_column") == c, F.col("_median"))).alias(f"{c}_median") for c in columns))
 
 
 def rollup(df: DataFrame, period: str, ts: str = "timestamp_utc") -> DataFrame:
@@ -59,8 +60,8 @@ def rollup(df: DataFrame, period: str, ts: str = "timestamp_utc") -> DataFrame:
             else:
                 aggs.append(AGGREGATES[s](column).alias(f"{column}_{s}"))
     out = binned.groupBy(*keys).agg(*aggs)
-    for column in medians:
-        out = null_safe_join(out, _medians(binned, keys, column), keys)
+    if medians:
+        out = null_safe_join(out, _medians(binned, keys, medians), keys)
     return out.withColumns(_derived(period)) if _derived(period) else out
 
 

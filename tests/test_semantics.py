@@ -132,7 +132,7 @@ def test_empty_data_fails_report(spark):
 
 
 def stations(spark, spots):
-    return spark.createDataFrame([("C", f"S{i:02d}", lat, lon, 250.0, 300.0) for i, (lat, lon) in enumerate(spots)],
+    return spark.createDataFrame([("C", f"S{i:03d}", lat, lon, 250.0, 300.0) for i, (lat, lon) in enumerate(spots)],
                                  "city string, location string, latitude double, longitude double, avg_value double, max_value double")
 
 
@@ -168,6 +168,9 @@ def test_dbscan_equals_brute_force(spark):
     random.seed(3)
     spots = [(28 + random.gauss(0, 0.25), 77 + random.gauss(0, 0.25)) for _ in range(60)]
     spots += [(60 + random.gauss(0, 0.1), 20 + random.gauss(0, 0.2)) for _ in range(20)] + [spots[0]] * 4
+    # over the 180° meridian and around a pole
+    spots += [(-17 + random.gauss(0, 0.1), (random.gauss(0, 0.2) + 360) % 360 - 180) for _ in range(20)] + [(-17.0, 180.0), (-17.0, -180.0)]
+    spots += [(90 - abs(random.gauss(0, 0.1)), random.uniform(-180, 180)) for _ in range(12)]
     got = {int(r.location[1:]): r.cluster for r in hotspot.dbscan(stations(spark, spots)).collect()}
     assert got == brute_dbscan(spots, 15.0, 3)
 
