@@ -312,3 +312,31 @@ ALERT_CONDITIONS = [
 ALERT_PATTERN = r"^(AQI|PM25|PM10|O3|NO2|SO2|CO)>(\d+\.?\d*)$"
 COOLDOWN_SECONDS = {"realtime": 900, "hourly": 3600, "daily": 86400}
 DEFAULT_COOLDOWN_SECONDS = 3600
+
+# --- fixed values: factors of a personal profile ({}: its conditions) -------
+PROFILE_FACTORS = [
+    ("child", "Child — Higher sensitivity", "warning"),
+    ("senior", "Senior — Higher sensitivity", "warning"),
+    ("conditions", "Has {} — Extra caution needed", "danger"),
+    ("pregnant", "Pregnancy — Avoid polluted areas", "danger"),
+    ("active", "High outdoor activity — Increased exposure risk", "warning"),
+    ("mask", "Uses mask — Partial protection", "good"),
+    ("purifier", "Has air purifier — Better indoor protection", "good"),
+]
+
+# --- fixed values: weather statistics of the rollups ------------------------
+FULL_STATISTICS = ["mean", "std", "min", "max", "median"]
+WEATHER_STATISTICS = {
+    "hour": {c: FULL_STATISTICS for c in (
+        "temperature_2m", "relative_humidity_2m", "wind_speed_10m", "precipitation", "surface_pressure")},
+    "day": {
+        "temperature_2m": ["mean", "min", "max"],
+        "relative_humidity_2m": ["mean", "min", "max"],
+        "wind_speed_10m": ["mean", "max"],
+        "wind_direction_10m": ["mean"],
+        "precipitation": ["sum", "max"],
+        "surface_pressure": ["mean"],
+    },
+    "week": {c: FULL_STATISTICS for c in ("temperature_2m", "relative_humidity_2m", "wind_speed_10m", "precipitation")},
+    "month": {c: FULL_STATISTICS for c in ("temperature_2m", "relative_humidity_2m", "wind_speed_10m", "precipitation")},
+}

@@ -17,21 +17,6 @@ PERIODS = {
     "week": ("week_start", lambda ts: F.to_date(F.date_trunc("week", ts))),
     "month": ("month_start", lambda ts: F.to_date(F.date_trunc("month", ts))),
 }
-FULL_STATS = ["mean", "std", "min", "max", "median"]
-WEATHER_STATS = {
-    "hour": {c: FULL_STATS for c in (
-        "temperature_2m", "relative_humidity_2m", "wind_speed_10m", "precipitation", "surface_pressure")},
-    "day": {
-        "temperature_2m": ["mean", "min", "max"],
-        "relative_humidity_2m": ["mean", "min", "max"],
-        "wind_speed_10m": ["mean", "max"],
-        "wind_direction_10m": ["mean"],
-        "precipitation": ["sum", "max"],
-        "surface_pressure": ["mean"],
-    },
-    "week": {c: FULL_STATS for c in ("temperature_2m", "relative_humidity_2m", "wind_speed_10m", "precipitation")},
-    "month": {c: FULL_STATS for c in ("temperature_2m", "relative_humidity_2m", "wind_speed_10m", "precipitation")},
-}
 EXPECTED_ROWS = {"day": 24, "week": 24 * 7}
 AGGREGATES = {
     "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max, "sum": F.sum, "count": F.count,
@@ -50,8 +35,8 @@ def rollup(df: DataFrame, period: str, ts: str = "timestamp_utc") -> DataFrame:
     name, trunc = PERIODS[period]
     keys = ["city", "parameter", name]
     binned = df.withColumn(name, trunc(F.col(ts)))
-    wanted = {"value": [*FULL_STATS, "count"]}
-    wanted.update({c: s for c, s in WEATHER_STATS[period].items() if c in df.columns})
+    wanted = {"value": [*dims.FULL_STATISTICS, "count"]}
+    wanted.update({c: s for c, s in dims.WEATHER_STATISTICS[period].items() if c in df.columns})
     aggs, medians = [], []
     for column, stats in wanted.items():
         for s in stats:
