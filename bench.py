@@ -34,6 +34,8 @@ HEADLINE = [
     "m14_backtest_folds",
     "g02_density_clusters",
     "j16_threshold_matches",
+    "j03_weather_nearest_place",
+    "t02_hourly_rollup_stream",
 ]
 
 
