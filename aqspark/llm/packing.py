@@ -28,7 +28,7 @@ from aqspark.session import settle
 WINDOW = 2048
 OPEN_WINDOWS = 16
 MIN_CUT = 32
-MERGE = 32
+MERGE = 8
 END_ID = 1
 #: Sequence ids: partition (or merged group, above this bit) in the high part, a count in the low 32 bits.
 MERGED = 1 << 62
