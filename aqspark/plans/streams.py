@@ -137,7 +137,12 @@ def reporting_sessions(t):
     return jobs.sessions(t.readings, ["city"]).drop("session_id")
 
 
-@query("t06_session_stream")
+@query("t06_session_stream", """
+poor AS (SELECT reading_id, city, timestamp_utc FROM readings WHERE parameter IN ('aqi', 'pm25') AND value > 200),
+o AS (SELECT *, timestamp_utc - lag(timestamp_utc) OVER (PARTITION BY city ORDER BY timestamp_utc, reading_id) < INTERVAL 3 HOUR AS joined FROM poor),
+n AS (SELECT *, sum(CASE WHEN joined THEN 0 ELSE 1 END) OVER (PARTITION BY city ORDER BY timestamp_utc, reading_id) AS number FROM o),
+c AS (SELECT city, min(timestamp_utc) AS session_start, max(timestamp_utc) + INTERVAL 3 HOUR AS session_end, count(*) AS rows FROM n GROUP BY city, number)
+SELECT * FROM c WHERE session_end <= (SELECT max(timestamp_utc) - INTERVAL 2 HOUR FROM poor)""")
 def session_stream(t):
     poor = stream(t).readings.where(F.col("parameter").isin("aqi", "pm25") & (F.col("value") > 200))
     return finish(t, jobs.session_stream(poor, ["city"]))
