@@ -42,6 +42,7 @@ ROWS = 2
 LOAD = 4
 MIN_WIDTH, MAX_WIDTH = 1 << 22, 1 << 27
 SLICE = 1 << 20  # counters of a sketch that are merged together
+PART_BYTES = 4 << 20  # of text that a task hashes at a time
 
 BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -88,7 +89,7 @@ class WordHashes:
     """Two 64-bit hashes of each word (seeds 1 and 2) for each text of a batch."""
 
     def texts(self, column: pa.Array):
-        for _, part in slices(column):
+        for _, part in slices(column, PART_BYTES):
             vocabulary, index, bounds = encoded_words(part)
             raw = [w.encode() for w in vocabulary]
             first = np.fromiter((xxhash.xxh64_intdigest(w, 1) for w in raw), np.uint64, len(raw))
@@ -103,6 +104,23 @@ def _pack(counts: np.ndarray) -> bytes:
     return zlib.compress(np.packbits(counts >= 1).tobytes() + np.packbits(counts >= 2).tobytes(), 1)
 
 
+class Counters:
+    """Counters that stop at two, four to a byte."""
+
+    def __init__(self, width: int) -> None:
+        self.bytes = np.zeros(width // 4, np.uint8)
+
+    def add(self, cells: np.ndarray) -> None:
+        """Count distinct cells; those at one place in their bytes lie in distinct bytes."""
+        for place in range(4):
+            at = cells[cells & 3 == place] >> 2
+            self.bytes[at] += ((self.bytes[at] >> (2 * place) & 3) < 2).astype(np.uint8) << (2 * place)
+
+    def part(self, start: int, length: int) -> np.ndarray:
+        packed = self.bytes[start // 4 : (start + length) // 4]
+        return (packed[:, None] >> np.array([0, 2, 4, 6], np.uint8) & 3).ravel()
+
+
 def _merge(found: pa.Table) -> bytes:
     """Sum of packed slices, counters stopping at two."""
     one = two = None
@@ -127,14 +145,13 @@ def sketch(rows: DataFrame, width: int) -> list[np.ndarray]:
                 if len(words) < WINDOW or not id.is_valid:
                     continue
                 if counts is None:
-                    counts = [np.zeros(width, np.uint8) for _ in range(ROWS)]
+                    counts = [Counters(width) for _ in range(ROWS)]
                 found = np.unique(anchors(words))
                 for row in range(ROWS):
-                    at = np.unique(cells(found, row, width))
-                    counts[row][at] = np.minimum(counts[row][at] + 1, 2)
+                    counts[row].add(np.unique(cells(found, row, width)))
         for row in range(ROWS) if counts is not None else ():
             for at in range(0, width, SLICE):
-                piece = counts[row][at : at + SLICE]
+                piece = counts[row].part(at, SLICE)
                 if piece.any():
                     yield pa.RecordBatch.from_pydict({
                         "row": pa.array([row], pa.int32()), "slice": pa.array([at // SLICE], pa.int32()),

@@ -28,3 +28,13 @@ def test_equals_all_windows(make, corpus, monkeypatch, width):
 
 def test_empty(make):
     assert substrings.remove_repeats(make([])).count() == 0
+
+
+def test_counters_stop_at_two():
+    rng = np.random.default_rng(0)
+    counters, want = substrings.Counters(4096), np.zeros(4096, int)
+    for _ in range(50):
+        cells = np.unique(rng.integers(0, 4096, 300))
+        counters.add(cells)
+        want[cells] += 1
+    assert (counters.part(1024, 2048) == np.minimum(want, 2)[1024:3072]).all()
