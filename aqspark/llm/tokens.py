@@ -74,7 +74,9 @@ def text_tokens(texts: pa.Array, path: str) -> Iterator[np.ndarray]:
         counts = sizes[index]
         ends = np.cumsum(counts)
         shift = (np.cumsum(sizes) - sizes)[index] - (ends - counts)
-        ids = table[np.arange(ends[-1] if len(ends) else 0) + np.repeat(shift, counts)]
+        at = np.repeat(shift, counts)
+        at += np.arange(len(at), dtype=np.int32)  # in place: these are the largest arrays of a task
+        ids = table[at]
         cuts = np.concatenate(([0], ends))[bounds]
         for a, b in zip(cuts[:-1], cuts[1:]):
             yield ids[a:b]
