@@ -203,7 +203,7 @@ def links(nodes: DataFrame, crowded: int = CROWDED) -> DataFrame:
 
 
 def groups(prints: DataFrame, id: str = "doc_id", fp: str = "_fp", crowded: int = CROWDED) -> DataFrame:
-    """(fp, first_id, component_id) for each distinct fingerprint: smallest id with it, and of its component."""
+    """(fp, first_id, component_id, root) for each distinct fingerprint: smallest id with it, smallest id and fingerprint of its component."""
     nodes = settle(prints.groupBy(F.col(fp).alias("fp")).agg(F.min(id).alias("first_id")))
     component = settle(connected_components(links(nodes, crowded)))
     placed = nodes.join(component, nodes.fp == component.node, "left").select("fp", "first_id", F.coalesce("component", "fp").alias("root"))
@@ -211,8 +211,8 @@ def groups(prints: DataFrame, id: str = "doc_id", fp: str = "_fp", crowded: int
     lone = placed.where("root = fp").join(component.select(F.col("component").alias("root")).distinct(), "root", "left_anti")
     joined = placed.join(component.select(F.col("component").alias("root")).distinct(), "root", "left_semi")
     least = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = joined.join(least, "root").select("fp", "first_id", "component_id")
-    return named.union(lone.select("fp", "first_id", F.col("first_id").alias("component_id")))
+    named = joined.join(least, "root").select("fp", "first_id", "component_id", "root")
+    return named.union(lone.select("fp", "first_id", F.col("first_id").alias("component_id"), "root"))
 
 
 def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", crowded: int = CROWDED) -> DataFrame:
@@ -223,9 +223,11 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", crowd
 
 
 def keep_one(df: DataFrame, id: str = "doc_id", text: str = "text", crowded: int = CROWDED) -> DataFrame:
-    """One row of each component: the smallest id; of rows with equal id and fingerprint, one stays."""
+    """One row of each component: the smallest id (null if all are), then the smallest fingerprint; of rows with equal id and fingerprint, one stays."""
     prints = fingerprints(df, text)
     found = settle(groups(settle(fingerprints(df, text, keep=[id])), id, crowded=crowded))
-    kept = found.where(F.col("first_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("component_id").alias("_id")).agg(F.min("fp").alias("_fp"))
+    # a component is known by its root, as several may have one smallest id or none
+    least = found.where(F.col("first_id").eqNullSafe(F.col("component_id")))
+    kept = least.groupBy("root").agg(F.min("first_id").alias("_id"), F.min("fp").alias("_fp")).drop("root")
     same = prints[id].eqNullSafe(kept["_id"]) & (prints["_fp"] == kept["_fp"])
     return prints.join(kept, same, "left_semi").dropDuplicates([id, "_fp"]).drop("_fp")

@@ -70,5 +70,14 @@ def test_one_of_each_group_stays(make, corpus):
     assert sorted((r.doc_id for r in out.collect()), key=str) == sorted(groups, key=str)
 
 
+def test_components_of_one_id_or_none_stay_apart(make):
+    rng = np.random.default_rng(4)
+    text = lambda: " ".join(f"w{k}" for k in rng.integers(0, 10**6, 60))
+    lone, twice = [text() for _ in range(5)], [text(), text()]
+    rows = [(None, t, "en", "s") for t in lone] + [(7, t, "en", "s") for t in twice] + [(None, lone[0], "en", "s"), (8, twice[0], "en", "s")]
+    out = simhash.keep_one(make(rows)).collect()
+    assert sorted((str(r.doc_id), r.text) for r in out) == sorted([("None", t) for t in lone] + [("7", t) for t in twice])
+
+
 def test_empty(make):
     assert simhash.near_duplicates(make([])).count() == 0 and simhash.keep_one(make([])).count() == 0
