@@ -17,7 +17,8 @@ prefilter; results stay the same.
 
 Defined results: null text has no words; texts shorter than a window lose
 nothing; a repeat inside one document only removes nothing; rows with equal ids
-are one document as a source but judged row by row; rows with a null id are
+are one document as a source but judged row by row (a row is known by its id
+and a 128-bit hash of its text); rows with a null id are
 never sources and never lose words; other columns are ignored.
 """
 
@@ -191,22 +192,29 @@ def sketch_width(rows: DataFrame) -> int:
     return int(min(MAX_WIDTH, max(MIN_WIDTH, 1 << int(np.ceil(np.log2(max(expected, 1)))))))
 
 
-def repeated_windows(df: DataFrame, id: str = "doc_id", text: str = "text", width: int | None = None) -> DataFrame:
-    """(id, start) of each window whose words also start in a document with a smaller id."""
+def _rows(df: DataFrame, id: str, text: str) -> DataFrame:
+    """_id, _text and the two halves of the hash of each text, which tell rows of one id apart."""
     rows = df.select(F.col(f"`{id}`").alias("_id"), F.col(f"`{text}`").cast("string").alias("_text"))
+    return rows.select("*", *(F.xxhash64(F.lit(seed), "_text").alias(f"_t{seed}") for seed in (1, 2)))
+
+
+def repeated_windows(df: DataFrame, id: str = "doc_id", text: str = "text", width: int | None = None) -> DataFrame:
+    """(id, _t1, _t2, start) of each window whose words also start in a document with a smaller id; ``_t1``, ``_t2`` hash the row's text."""
+    rows = _rows(df, id, text)
     kind = rows.schema["_id"].dataType.simpleString()
-    shared = df.sparkSession.sparkContext.broadcast(sketch(rows, width or sketch_width(rows)))
+    shared = df.sparkSession.sparkContext.broadcast(sketch(rows.select("_id", "_text"), width or sketch_width(rows)))
 
     def candidates(batch: pa.RecordBatch):
         ids, starts, keys, n = [], [], [], 0
-        for id, (first, second) in zip(batch.column(0), WordHashes().texts(batch.column(1))):
+        t1, t2 = (batch.column(k).to_numpy() for k in (2, 3))
+        for row, (id, (first, second)) in enumerate(zip(batch.column(0), WordHashes().texts(batch.column(1)))):
             if len(first) < WINDOW or not id.is_valid:
                 continue
             at = np.flatnonzero(estimated_repeated(anchors(first), shared.value))
             if len(at):
                 ids.append(pa.repeat(id, len(at)))
                 starts.append(at)
-                keys.append((run_hashes(first, WINDOW)[at].view(np.int64), run_hashes(second, WINDOW)[at].view(np.int64)))
+                keys.append((run_hashes(first, WINDOW)[at].view(np.int64), run_hashes(second, WINDOW)[at].view(np.int64), np.full(len(at), t1[row]), np.full(len(at), t2[row])))
                 n += len(at)
             if n > 200_000:
                 yield table(ids, starts, keys)
@@ -215,13 +223,13 @@ def repeated_windows(df: DataFrame, id: str = "doc_id", text: str = "text", widt
             yield table(ids, starts, keys)
 
     def table(ids, starts, keys) -> dict:
-        return {"h1": pa.array(np.concatenate([a for a, _ in keys])), "h2": pa.array(np.concatenate([b for _, b in keys])),
+        return {c: pa.array(np.concatenate(k)) for c, k in zip(("h1", "h2", "_t1", "_t2"), zip(*keys))} | {
                 "_id": pa.concat_arrays(ids), "start": pa.array(np.concatenate(starts).astype(np.int32))}
 
-    found = map_batches(rows, f"h1 bigint, h2 bigint, _id {kind}, start int", candidates)
+    found = map_batches(rows, f"h1 bigint, h2 bigint, _t1 bigint, _t2 bigint, _id {kind}, start int", candidates)
     first = found.groupBy("h1", "h2").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last")).where("_first < _last").drop("_last")
     first = settle(first)  # stored, so the join reads two plain exchanges and may split a very common window
-    return found.join(first, ["h1", "h2"]).where("_first < _id").select(F.col("_id").alias(id), "start")
+    return found.join(first, ["h1", "h2"]).where("_first < _id").select(F.col("_id").alias(id), "_t1", "_t2", "start")
 
 
 def covered(starts: np.ndarray, n: int) -> np.ndarray:
@@ -234,10 +242,12 @@ def covered(starts: np.ndarray, n: int) -> np.ndarray:
 
 def remove_repeats(df: DataFrame, id: str = "doc_id", text: str = "text", width: int | None = None) -> DataFrame:
     """id, n_words, n_removed, kept_text (kept words joined by one space) of every row of ``df``."""
-    rows = df.select(F.col(f"`{id}`").alias("_id"), F.col(f"`{text}`").cast("string").alias("_text"))
+    rows = _rows(df, id, text)
     kind = rows.schema["_id"].dataType.simpleString()
-    found = settle(repeated_windows(df, id, text, width).groupBy(F.col(id).alias("_key")).agg(F.collect_set("start").alias("starts")))
-    joined = rows.join(found, rows["_id"] == found["_key"], "left").select("_id", "_text", "starts")
+    windows = repeated_windows(df, id, text, width).groupBy(F.col(id).alias("_key"), F.col("_t1").alias("_k1"), F.col("_t2").alias("_k2"))
+    found = settle(windows.agg(F.collect_set("start").alias("starts")))
+    same = (rows["_id"] == found["_key"]) & (rows["_t1"] == found["_k1"]) & (rows["_t2"] == found["_k2"])
+    joined = rows.join(found, same, "left").select("_id", "_text", "starts")
 
     def run(batch: pa.RecordBatch) -> dict:
         out = []

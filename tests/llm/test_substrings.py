@@ -26,6 +26,13 @@ def test_equals_all_windows(make, corpus, monkeypatch, width):
     assert got == sorted(brute.repeats_removed([(r[0], r[1]) for r in corpus]), key=str)
 
 
+def test_rows_of_one_id_are_judged_by_their_own_text(make):
+    shared, own, other = (" ".join(f"{c}{k}" for k in range(90)) for c in "abc")
+    rows = [(1, shared, "en", "s"), (2, own + " " + shared, "en", "s"), (2, other + " " + own, "en", "s"), (2, "short", "en", "s"), (2, None, "en", "s")]
+    got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in substrings.remove_repeats(make(rows)).collect()), key=str)
+    assert got == sorted(brute.repeats_removed([(r[0], r[1]) for r in rows]), key=str)
+
+
 def test_empty(make):
     assert substrings.remove_repeats(make([])).count() == 0
 
