@@ -2,10 +2,12 @@
 
 The lexer reads the forms that source code and configuration share: a name
 (quoted or not), one of ``= : := =>``, and a value of quoted or bare terms
-joined by ``+``; ``<name>value</name>`` is read the same way. A term that names
-an earlier constant of the same text stands for that constant's literals. A
-literal is reported if its target's name and its own shape score at least
-``THRESHOLD`` together.
+joined by ``+``; ``<name>value</name>`` is read the same way, and so are pairs
+inside a bare value. A term that names an earlier constant of the same text
+stands for that constant's literals; ``Bearer`` or ``Basic`` before a value is
+no part of it. A literal is reported if its target's name and its own shape
+score at least ``THRESHOLD`` together, and so are the parts of a concatenation
+whose joined value does, if one of them is written in place.
 
 Defined results: null text is empty; offsets are code points, ends exclusive;
 equal rows give equal rows; whole texts are read in one pass without a shuffle.
@@ -30,20 +32,23 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 # fixed values: weight of a word in a target's name
 NAME_WEIGHTS = {
     "password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 1.0, "secret": 1.0, "token": 1.0, "apikey": 1.0,
-    "credential": 0.9, "credentials": 0.9, "auth": 0.7, "bearer": 0.9, "key": 0.5, "access": 0.4, "private": 0.4,
+    "credential": 0.9, "credentials": 0.9, "auth": 0.7, "authorization": 0.9, "bearer": 0.9, "key": 0.5, "access": 0.4, "private": 0.4,
     "api": 0.4, "signing": 0.4, "encryption": 0.4, "client": 0.2,
 }
 # fixed values: literals that stand for no secret
-PLACEHOLDER = re.compile(r"(?:change.?me|example|placeholder|your[_-]|x{4,}|\*{3,}|\.{3}|\$\{|\$\(|%\(|\{\{|<[a-z_ -]+>|none|null|true|false|undefined)", re.I)
-STEMS = ("pass", "pwd", "secret", "token", "key", "credential", "auth", "bearer")
+PLACEHOLDER = re.compile(r"your[_-]|x{4,}|\*{3,}|\.{3}|\$\{|\$\(|%\(|\{\{|<[a-z_ -]+>", re.I)
+# fixed values: words that stand for no secret if a literal is made of nothing else, but for a few digits or marks
+PLAIN = re.compile(r"(?:[\W\d_]{0,4}(?:change.?me|example|placeholder|none|null|true|false|undefined))+[\W\d_]{0,4}", re.I)
 THRESHOLD = 0.6
 MIN_LITERAL = 8
 
 TERM = r"""(?:"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|`[^`\n]*+`|[^\s"'`,;(){}\[\]<>+|]++)"""
-PAIR = re.compile(
-    rf"""(?P<q>["']?)(?P<name>(?<![\w.$-])[A-Za-z_][\w.-]*+)(?P=q)[\x20\t]*+(?::=|=>|[:=](?![=]))[\x20\t]*+(?P<value>{TERM}(?:[\x20\t]*\+[\x20\t]*{TERM})*+)"""
+TARGET = re.compile(
+    r"""(?P<q>["']?)(?P<name>(?<![\w.$-])[A-Za-z_][\w.-]*+)(?P=q)[\x20\t]*+(?::=|=>|[:=](?![=]))[\x20\t]*+"""
     r"""|<(?P<tag>[A-Za-z_][\w.-]*)>(?P<inner>[^<>\n]+)</(?P=tag)>"""
 )
+VALUE = re.compile(rf"{TERM}(?:[\x20\t]*\+[\x20\t]*{TERM})*+")
+SCHEME = re.compile(r"(?:bearer|basic)[\x20\t]+([A-Za-z0-9._~+/-]+=*)", re.I)
 ONE_TERM = re.compile(TERM)
 NAME_WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
@@ -57,7 +62,7 @@ def name_score(name: str) -> float:
 
 def literal_score(value: str) -> float:
     """Shape of a secret: long enough, without spaces, no placeholder, letters well mixed."""
-    if len(value) < MIN_LITERAL or len(value.split()) != 1 or PLACEHOLDER.search(value):
+    if len(value) < MIN_LITERAL or len(value.split()) != 1 or PLACEHOLDER.search(value) or PLAIN.fullmatch(value):
         return 0.0
     n = len(value)
     bits = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
@@ -68,24 +73,47 @@ def lexed(text: str) -> list[tuple[int, int, str, float]]:
     """(start, end, target name, score) of literals assigned to sensitive names."""
     constants: dict[str, list[tuple[int, int]]] = {}
     found: dict[tuple[int, int], tuple[str, float]] = {}
-    for m in PAIR.finditer(text):
+    pos, terms, longest = 0, [], 0  # where to look on; the terms of the value last read; the longest constant's name
+
+    def report(name: str, span: tuple[int, int], score: float) -> None:
+        if score >= THRESHOLD and score > found.get(span, ("", 0.0))[1]:
+            found[span] = (name, score)
+
+    while m := TARGET.search(text, pos):
+        pos = m.end()
+        joined, in_place = [], False  # literals and constants of a concatenation
         if m["tag"]:
             name, parts = m["tag"], [m.span("inner")]
         else:
             name, parts = m["name"], []
-            for t in ONE_TERM.finditer(text, *m.span("value")):
-                quoted = t[0][0] in "\"'`"
-                if not quoted and t[0] in constants:
-                    parts += constants[t[0]]
-                else:
-                    parts.append((t.start() + quoted, t.end() - quoted))
+            if terms and pos < terms[0][1]:
+                terms = [(pos, terms[0][1]), *terms[1:]]  # inside a bare value, which both end together
+            else:
+                value = VALUE.match(text, pos)
+                if not value:
+                    continue
+                terms = [t.span() for t in ONE_TERM.finditer(text, *value.span())]
+                # a bare value may hold further pairs, so only quoted terms are passed over
+                pos = next((a for a, _ in terms if text[a] not in "\"'`"), value.end())
+            for a, b in terms:
+                quoted = text[a] in "\"'`"
+                known = None if quoted or b - a > longest else constants.get(text[a:b])
+                parts += known or [(a + quoted, b - quoted)]
+                joined += known or ([(a + 1, b - 1)] if quoted else [])
+                in_place |= quoted
+            if s := SCHEME.match(text, parts[0][0]):
+                parts[0] = s.span(1)
         constants[name] = parts
+        longest = max(longest, len(name))
         weight = name_score(name)
         if weight:
             for span in parts:
-                score = weight * literal_score(text[slice(*span)])
-                if score >= THRESHOLD and score > found.get(span, ("", 0.0))[1]:
-                    found[span] = (name, score)
+                report(name, span, weight * literal_score(text[slice(*span)]))
+            if in_place and len(joined) > 1:
+                score = weight * literal_score("".join([text[slice(*span)] for span in joined]))
+                for span in joined:
+                    if span[0] < span[1]:
+                        report(name, span, score)
     return [(*span, *what) for span, what in found.items()]
 
 
@@ -105,7 +133,7 @@ def scan(text: str) -> list[dict]:
             add("access", *m.span(), *m.span())
     for m in HEX.finditer(text):
         add("hex", *m.span(), *m.span())
-    if any(s in low for s in STEMS) and any(c in text for c in "=:<"):
+    if sum(v for w, v in NAME_WEIGHTS.items() if w in low) >= THRESHOLD and any(c in text for c in "=:<"):
         for start, end, name, score in lexed(text):
             add("named", start, end, start, end, name, score)
     return sorted(out, key=lambda f: (f["start"], KINDS.index(f["kind"]), f["end"]))
