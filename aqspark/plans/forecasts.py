@@ -8,9 +8,11 @@ from aqspark import dims
 from aqspark.operators import features as ft
 from aqspark.operators import forecast as fc
 from aqspark.plans.features import GRID, TRAINING, aqi_readings, training
+from aqspark.plans.files import long_readings
 from aqspark.plans.marts import rounded
 from aqspark.plans.registry import query
 from aqspark.plans.tables import AS_OF, as_of, sql_band_case
+from aqspark.session import settle
 
 COLS = ["aqi", "temperature_2m", "wind_speed_10m"]
 SP = f"""sp AS (SELECT {", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}, min({c}) AS lo_{c}, max({c}) - min({c}) AS r_{c}" for c in COLS)} FROM training)"""
@@ -231,6 +233,65 @@ def leaderboard(t):
     return rounded(board.select("model_name", "mae_mean", "rmse_mean", "n_folds", "place", "is_champion"))
 
 
+# --- the reference's windows and fold sizes, over years of readings, as a month is too short for them ---
+
+LAGS_SWEPT = (1, 24, 168)
+WINDOWS_SWEPT = (6, 12, 24, 48, 168)
+
+
+def long_grid(t):
+    return settle(ft.hourly_grid(long_readings(t)))
+
+
+def swept_metrics(t, kind: str):
+    g, out = long_grid(t), None
+    for n in WINDOWS_SWEPT:
+        wide = fc.one_step(g, persistence=(), sma=n if kind == "sma" else 0, wma=n if kind == "wma" else 0)
+        rows = fc.long_predictions(wide, [f"{kind}_{n}"])
+        part = fc.residual_metrics(rows, ["city", "model_name"])
+        out = part if out is None else out.unionByName(part)
+    return rounded(out)
+
+
+@query("m09_moving_average_long")
+def sma_long(t):
+    return swept_metrics(t, "sma")
+
+
+@query("m10_weighted_average_long")
+def wma_long(t):
+    return swept_metrics(t, "wma")
+
+
+def long_folds(t):
+    """Folds of all 13 baselines with the full fold sizes."""
+    g, out = long_grid(t), None
+    for k, n in enumerate(WINDOWS_SWEPT):
+        part = fc.backtest(g, persistence=() if k else LAGS_SWEPT, sma=n, wma=n)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("m14_backtest_folds_long")
+def backtest_folds_long(t):
+    return rounded(long_folds(t))
+
+
+@query("m14_backtest_summary_long")
+def backtest_summary_long(t):
+    return rounded(fc.backtest_summary(long_folds(t)))
+
+
+@query("m14_backtest_custom_forecaster_long")
+def custom_long(t):
+    return rounded(fc.backtest_custom(long_grid(t), _last_mean, "mean_of_last_day"))
+
+
+@query("m15_leaderboard_long")
+def leaderboard_long(t):
+    return rounded(fc.leaderboard(fc.backtest_summary(long_folds(t), ["model_name"])))
+
+
 # registry: the best model of the first folds holds the title, that of the later folds challenges it
 REG = BACKTEST + f""",
 rg AS (SELECT city, model_name, avg(mae) FILTER (WHERE fold < 3) AS m0, avg(mae) FILTER (WHERE fold >= 3) AS m1 FROM fm GROUP BY 1, 2),

@@ -4,13 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from aqspark.operators import forecast as fc
 from aqspark.operators import learn
 from aqspark.plans.features import training
 from aqspark.plans.forecasts import grid, one_step
 from aqspark.plans.registry import query
+from aqspark.session import settle
 
 WEATHER = ["temperature_2m", "wind_speed_10m"]
-SMALL = dict(iterations=5, depth=3, step=0.2)
+HORIZONS = list(range(1, 73))
+# fixed values: the reference's search space
+SETTINGS = [
+    dict(depth=d, step=s, iterations=n, subsample=u)
+    for d in (4, 6, 8) for s in (0.01, 0.05, 0.1) for n in (300, 500, 800) for u in (0.7, 0.8, 0.9)
+]
 
 
 def table(t):
@@ -20,32 +27,33 @@ def table(t):
 @query("m03_boosted_trees")
 def trees(t):
     rows, names = table(t)
-    model = learn.tree_pipeline(names, **SMALL).fit(rows)
-    return learn.fit_metrics(model.transform(rows), ["city"])
+    parts = settle(fc.chronological_split(rows))
+    model = learn.tree_pipeline(names).fit(parts.where("part = 'train'"))
+    return learn.fit_metrics(model.transform(parts.where("part = 'test'")), ["city"])
 
 
 @query("m04_expanding_validation")
 def validation(t):
     rows, names = table(t)
-    return learn.cross_validate(rows, names, folds=3, **SMALL)
+    return learn.cross_validate(rows, names)
 
 
 @query("m05_grid_search")
 def search(t):
     rows, names = table(t)
-    return learn.grid_search(rows, names, [dict(SMALL, depth=d) for d in (2, 4)], folds=2)
+    return learn.grid_search(rows, names, SETTINGS)
 
 
 @query("m06_multi_horizon_forecast")
 def horizons(t):
     rows, names = table(t)
-    return learn.multi_horizon_forecast(rows, names, [1, 6, 12, 24], **SMALL)
+    return learn.multi_horizon_forecast(rows, names, HORIZONS)
 
 
 @query("m07_feature_importance")
 def importance(t):
     rows, names = table(t)
-    return learn.importances(t.spark, learn.tree_pipeline(names, **SMALL).fit(rows), names)
+    return learn.importances(t.spark, learn.tree_pipeline(names).fit(rows), names)
 
 
 @query("m11_trend_and_seasonality")
