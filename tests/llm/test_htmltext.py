@@ -16,6 +16,18 @@ CASES = {
 }
 
 
+def test_pages_without_landmarks():
+    long = f"<p>{TEXT}</p><p>{TEXT} again</p>"
+    want = f"{TEXT}\n{TEXT} again"
+    for wrapper in ('class="content has-sidebar"', 'id="page" class="site no-comments"', 'class="layout sidebar-right"', 'class="article-body share-enabled"', 'class="sidebar"'):
+        assert htmltext.main_text(f"<body><nav>Home</nav><div {wrapper}>{long}</div><footer>end</footer></body>") == want
+    assert htmltext.main_text(f'<article><div class="article-body share-enabled">{long}</div></article>') == want
+    assert htmltext.main_text(f'<div><p>A <span class="search-hit">found</span> word. {TEXT}</p></div>') == f"A found word. {TEXT}"
+    assert htmltext.main_text(f'<body><div class="post"><h1>Title</h1><div class="share">x</div>{long}<div class="ad">buy</div><p>Tail</p></div></body>') == f"Title\n{want}\nTail"
+    for side in ('class="sidebar"', 'class="left-sidebar"', 'id="comments-list"', 'class="share-buttons"', 'class="pageFooter"'):
+        assert htmltext.main_text(f"<div {side}><p>{TEXT} side</p></div><div>{long}</div>") == want
+
+
 def test_cases(spark):
     pages = list(CASES) + [None, "<p>" + "w " * 300_000 + "</p>", "<div>" * 5000 + "deep"]
     df = spark.createDataFrame([(k, "u", h, "old", 1) for k, h in enumerate(pages)], "page_id bigint, url string, html string, text string, n_chars int")
