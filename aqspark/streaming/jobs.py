@@ -107,8 +107,9 @@ def priority_batch_writer(path: str, tiebreak: str, ts: str = "timestamp_utc") -
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
         else:
-            days = rows.select("event_date").distinct()
-            rows = rows.unionByName(old.join(days, "event_date", "left_semi"))
+            days = rows.select(F.col("event_date").alias("_day")).distinct()
+            # rows without a time have a day of their own, the null one
+            rows = rows.unionByName(old.join(days, old["event_date"].eqNullSafe(days["_day"]), "left_semi"))
         best = F.min_by(F.struct(*rows.columns), F.struct(source_priority(), F.coalesce("source", F.lit("")), tiebreak))
         kept = settle(rows.groupBy(*[F.col(k).alias(f"_k_{k}") for k in READING_KEY]).agg(best.alias("_b")).select("_b.*"))
         kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_date").parquet(path)

@@ -118,6 +118,14 @@ def test_better_source_of_a_later_batch_wins(spark, tmp_path):
     assert sorted(r.reading_id for r in spark.read.parquet(str(tmp_path / "best")).collect()) == [2, 3, 5]
 
 
+def test_stored_rows_without_a_time_stay(spark, tmp_path):
+    schema = "reading_id bigint, city string, location string, parameter string, timestamp_utc timestamp, source string"
+    write = jobs.priority_batch_writer(str(tmp_path / "best"), "reading_id")
+    for k, places in enumerate((["a", "b"], ["b", "c"])):
+        write(spark.createDataFrame([(10 * k + n, "Delhi", p, "pm25", None, "cpcb") for n, p in enumerate(places)], schema), k)
+    assert sorted((r.location, r.reading_id) for r in spark.read.parquet(str(tmp_path / "best")).collect()) == [("a", 0), ("b", 1), ("c", 11)]
+
+
 def test_alerts_start_with_the_subscription(spark):
     alerts = spark.createDataFrame([("Delhi", "AQI>1", "daily", T0 + dt.timedelta(days=d)) for d in (0, 2)], "location string, condition string, frequency string, triggered_at timestamp")
     subs = spark.createDataFrame([(1, 1, "AQI>1", "Delhi", "daily", "sms", True, T0 + dt.timedelta(days=1))],
