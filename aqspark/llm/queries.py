@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aqspark.llm import htmltext, language, mixing, packing, projections, quality, secrets, simhash, substrings, twins, warc
+from aqspark.llm import htmltext, language, mixing, packing, projections, quality, secrets, simhash, substrings, twins, warc, winnowing
 from aqspark.llm.registry import register
 
 
@@ -105,3 +105,9 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = warc.archive_folder(spark)
     manifest = warc.write(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
     return warc.read(manifest, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@register("op11_benchmark_decontamination", twins.DECONTAMINATION)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = winnowing.scan(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2("items", 256).alias("items_sha256"), "contaminated")

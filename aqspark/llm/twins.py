@@ -18,6 +18,23 @@ SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT
 FROM w LEFT JOIN kept USING (doc_id)
 """
 
+PLAIN_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')"
+
+DECONTAMINATION = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {PLAIN_WORDS} AS ws FROM documents),
+b AS (SELECT item_id, ws, least(len(ws), 10) AS n FROM (SELECT item_id, {PLAIN_WORDS} AS ws FROM benchmark) WHERE len(ws) > 0),
+item AS (SELECT DISTINCT item_id, n, array_to_string(ws[i:i + n - 1], ' ') AS s FROM (SELECT *, unnest(range(1, len(ws) - n + 2)) AS i FROM b)),
+own AS (SELECT r, n, i, array_to_string(ws[i:i + n - 1], ' ') AS s
+        FROM (SELECT r, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d CROSS JOIN (SELECT DISTINCT n FROM item))),
+hit AS (SELECT r, n, i, s FROM own SEMI JOIN item USING (n, s)),
+place AS (SELECT r, count(DISTINCT i + k) AS c FROM hit, range(0, 10) t(k) WHERE k < n GROUP BY r),
+named AS (SELECT r, count(*) AS c, string_agg(x, ',' ORDER BY x) AS l
+          FROM (SELECT DISTINCT r, item_id::VARCHAR AS x FROM hit JOIN item USING (n, s) WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(place.c, 0)::BIGINT AS n_hit, coalesce(named.c, 0)::BIGINT AS n_items,
+       sha256(coalesce(l, '')) AS items_sha256, coalesce(place.c, 0) > 0 AS contaminated
+FROM d LEFT JOIN place USING (r) LEFT JOIN named USING (r)
+"""
+
 
 def _distance(prefix: str, n: int) -> str:
     """Jensen-Shannon distance of counts p.<prefix>k from shares r.<prefix>k."""
