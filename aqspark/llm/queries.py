@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aqspark.llm import htmltext, language, mixing, packing, projections, quality, secrets, simhash, substrings, twins, warc, winnowing
+from aqspark.llm import alignment, htmltext, language, mixing, packing, projections, quality, secrets, simhash, spelling, substrings, twins, warc, winnowing
 from aqspark.llm.registry import register
 
 
@@ -111,3 +111,14 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = winnowing.scan(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2("items", 256).alias("items_sha256"), "contaminated")
+
+
+@register("op12_spelling_variants", twins.SPELLING)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variant_groups(documents(spark, sf_dir))
+
+
+@register("op13_token_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return alignment.align(documents(spark, sf_dir), *paths).withColumnRenamed("groups", "groups_sha256")

@@ -35,6 +35,27 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(place.c, 0)::BIGINT AS n_hit
 FROM d LEFT JOIN place USING (r) LEFT JOIN named USING (r)
 """
 
+SPELLING = r"""
+WITH RECURSIVE step(i, c, k) AS (SELECT i::BIGINT, i::BIGINT, 0 FROM range(0, 256) t(i)
+  UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM step WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS tab FROM step WHERE k = 8),
+run AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) AS r FROM documents),
+own AS (SELECT id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, count(*) AS c FROM run GROUP BY ALL),
+coded AS (SELECT w, c, hex(encode(id || ':' || w)) AS x FROM own),
+hashed AS (SELECT w, c, xor(4294967295, list_reduce(list_transform(range(0, length(x) // 2), lambda k: ('0x' || substr(x, 2 * k + 1, 2))::BIGINT),
+    lambda s, b: xor(s >> 8, tab[xor(s & 255, b) + 1]), 4294967295::BIGINT)) AS h FROM coded CROSS JOIN crc),
+word AS (SELECT CASE WHEN h % 199 = 0 THEN substr(w, 1, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2) ELSE w END AS word, sum(c)::BIGINT AS n
+         FROM hashed GROUP BY 1 HAVING length(word) >= 6 AND sum(c) >= 5),
+cut AS (SELECT word, n, k, substr(word, 1, k - 1) || substr(word, k + 1) AS rest FROM (SELECT *, unnest(range(1, length(word) + 1)) AS k FROM word)),
+link AS (SELECT DISTINCT a.word, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.rest = b.rest AND a.k = b.k AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN word b ON a.rest = b.word UNION SELECT b.word, a.word, a.n FROM cut a JOIN word b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, min((-near_n, near)) AS m FROM link GROUP BY word),
+formed AS (SELECT word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN -m[1] >= 5 * n THEN m[2] END AS form, CASE WHEN -m[1] >= 5 * n THEN -m[1] END::BIGINT AS form_n
+  FROM word LEFT JOIN best USING (word)),
+path(word, at_) AS (SELECT word, word FROM formed UNION ALL SELECT path.word, form FROM path JOIN formed ON at_ = formed.word WHERE form IS NOT NULL)
+SELECT path.word, f.form, at_ AS root, f.n, f.n_near, f.form_n FROM path JOIN formed l ON at_ = l.word JOIN formed f ON path.word = f.word WHERE l.form IS NULL
+"""
+
 
 def _distance(prefix: str, n: int) -> str:
     """Jensen-Shannon distance of counts p.<prefix>k from shares r.<prefix>k."""
