@@ -2,16 +2,16 @@
 
 Two tokenizers cut the same bytes; where tokens of both end, a group ends. Token
 pairs that share a group are linked, and an id pair counts the documents that
-hold it linked. Three passes over the texts:
+hold it linked. Two passes over the texts:
 
-1. Align, and collect the distinct id pairs. They are cut into shards by the
-   first id; each shard gets a minimal perfect hash: in every level, pairs that
-   are alone in their bit keep it, the others go on to the next level, and a
-   pair's index is its bit's rank.
-2. Align again. Each slice of texts sends the documents that hold each of its
-   pairs, as one array per shard. Groups of slices add them into dense vectors
-   by index, with the key at an index compared, and vectors are summed as a tree.
-3. Align again and look the counts up, shard by shard, with keys compared again.
+1. Align; each slice of texts stores its distinct id pairs with the number of its
+   documents that hold them. The distinct pairs of all are cut into shards by the
+   first id, and each shard gets a minimal perfect hash: in every level, pairs
+   that are alone in their bit keep it, the others go on to the next level, and
+   a pair's index is its bit's rank. Groups of slices add their counts into dense
+   vectors by index, with the key at an index compared, and vectors are summed as
+   a tree.
+2. Align again and look the counts up, shard by shard, with keys compared again.
 
 No group holds more than one shard's vectors (about ``SHARD_PAIRS`` entries) and
 ``FAN`` slices' arrays or vectors; nothing is broadcast or collected but the
@@ -32,12 +32,15 @@ from __future__ import annotations
 import os
 import re
 import uuid
-from collections import Counter
 from collections.abc import Iterator
+from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -45,16 +48,19 @@ from tokenizers import Tokenizer
 from aqspark.llm.common import map_batches
 from aqspark.session import settle
 
-SLICE_CHARS = 1 << 23  # texts aligned together, unless one is longer
-CACHE_UNITS = 200_000
-CACHED_UNIT = 64  # longer units are aligned anew in each slice
+SLICE_CHARS = 1 << 21  # texts aligned together, unless one is longer
+LONG_UNIT = 256  # longer units are encoded by themselves
 SHARD_PAIRS = 1 << 20
-FAN = 64
+FAN = 24
 SECOND = 16  # bits of the second id in a pair
 LOAD = 2  # bits of a hash level for each key left
 LEVELS = 40
+WIDE_GROUP = 4096  # links of a group that are counted by distinct ids
 
+# fixed value: how the byte-level vocabulary's tokenizer cuts texts before merging
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 UNIT = re.compile(r"(?<=\S)(?= )")
+SPACED = re.compile(r"\s ")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -65,77 +71,55 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class Aligner:
-    """Two tokenizers and the units they have aligned."""
+    """Two tokenizers and the bytes of their tokens."""
 
     def __init__(self, first: str, second: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
-        self.a = Tokenizer.from_file(first)
-        self.a.encode_special_tokens = True
+        a = Tokenizer.from_file(first)
+        self.path, self.long = first, None
         self.b = sentencepiece.SentencePieceProcessor(model_file=second)
-        stand_in = byte_alphabet()
-        self.a_bytes = {}
-        for token, id in self.a.get_vocab(with_added_tokens=False).items():
+        stand_in, vocabulary = byte_alphabet(), a.get_vocab(with_added_tokens=False)
+        self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
+        for token, id in vocabulary.items():
             self.a_bytes[id] = bytes(stand_in[c] for c in token)
-        self.b_bytes = {}
-        for id in range(self.b.get_piece_size()):
-            piece = self.b.id_to_piece(id)
-            self.b_bytes[id] = bytes([int(piece[3:5], 16)]) if self.b.is_byte(id) else piece.replace("▁", " ").encode()
+        # merges are numbered in the order of their ids, so the entries are ranks as well
+        self.ranks = tiktoken.Encoding("first", pat_str=PATTERN, mergeable_ranks={x: k for k, x in enumerate(self.a_bytes) if x}, special_tokens={})
+        pieces = [(self.b.id_to_piece(k), self.b.is_byte(k)) for k in range(self.b.get_piece_size())]
+        self.b_bytes = [bytes([int(piece[3:5], 16)]) if single else piece.replace("▁", " ").encode() for piece, single in pieces]
         self.blank = self.b.piece_to_id("▁")
-        self.known: dict[str, Unit] = {}
-
-    def units(self, found: list[str]) -> list[Unit]:
-        """Each distinct unit aligned."""
-        missing = [u for u in found if u not in self.known]
-        fresh = {}
-        if missing:
-            a = self.a.encode_batch_fast(missing, add_special_tokens=False)
-            b = self.b.encode([u[1:] for u in missing], num_threads=1)
-            for u, x, y in zip(missing, a, b):
-                # an empty rest gives no pieces, but the blank before it is one
-                fresh[u] = self.align(u.encode(), x.ids, y if len(u) > 1 else [self.blank])
-        out = [fresh[u] if u in fresh else self.known[u] for u in found]
-        short = {u: x for u, x in fresh.items() if len(u) <= CACHED_UNIT}
-        if len(self.known) + len(short) > CACHE_UNITS:
-            self.known = {}
-        if len(short) <= CACHE_UNITS:
-            self.known.update(short)
-        return out
-
-    def align(self, raw: bytes, a: list[int], b: list[int]) -> Unit | None:
-        """Groups of one unit; None if a vocabulary doesn't give its bytes back."""
-        a_parts, b_parts = [self.a_bytes.get(i, b"") for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(a_parts) != raw or b"".join(b_parts) != raw:
-            return None
-        groups, links = [], Counter()
-        i = j = 0
-        while i < len(a) or j < len(b):
-            i0, j0 = i, j
-            a_end = b_end = 0
-            while True:
-                if a_end <= b_end and i < len(a):
-                    a_end += len(a_parts[i])
-                    i += 1
-                elif j < len(b):
-                    b_end += len(b_parts[j])
-                    j += 1
-                if a_end == b_end and a_end:
-                    break
-            groups.append(",".join(map(str, a[i0:i])) + "|" + ",".join(map(str, b[j0:j])))
-            for x, m in Counter(a[i0:i]).items():
-                for y, n in Counter(b[j0:j]).items():
-                    links[x << SECOND | y] += m * n
-        pairs = np.fromiter(links.keys(), np.int64, len(links))
-        times = np.fromiter(links.values(), np.int64, len(links))
-        return Unit(len(a), len(b), len(groups), int(times.sum()), ";".join(groups), pairs, times)
-
-
-class Unit:
-    """Numbers of tokens, groups and links, the groups as text, the distinct id pairs and how often each is linked."""
-
-    __slots__ = ("numbers", "text", "pairs", "times")
-
-    def __init__(self, n_a: int, n_b: int, n_groups: int, n_links: int, text: str, pairs: np.ndarray, times: np.ndarray) -> None:
-        self.numbers, self.text, self.pairs, self.times = (n_a, n_b, n_groups, n_links), text, pairs, times
+        # an id as text with the mark after it: inside a group, and at the end of its side
+        marks = [f"{k}{mark}" for side, end in ((self.a_bytes, "|"), (self.b_bytes, ";")) for k in range(len(side)) for mark in (",", end)]
+        self.marks = pa.array(marks, pa.large_string())
+
+    def whole(self, unit: str) -> list[int]:
+        """Ids of one unit of the byte-level vocabulary; a long one by the tokenizer itself, which bears any length."""
+        if len(unit) <= LONG_UNIT:
+            return self.ranks.encode_ordinary(unit)
+        if self.long is None:
+            self.long = Tokenizer.from_file(self.path)
+            self.long.encode_special_tokens = True
+        return self.long.encode(unit, add_special_tokens=False).ids
+
+    def first(self, units: list[str], sizes: np.ndarray) -> Side:
+        """Tokens of the byte-level vocabulary; units of ``sizes`` bytes that end in a word are encoded as one text."""
+        alone = [k for k, u in enumerate(units) if len(u) > LONG_UNIT or u[-1].isspace()]
+        apart = set(alone)
+        together = [k for k in range(len(units)) if k not in apart]
+        ids = np.array(self.ranks.encode_ordinary("".join([units[k] for k in together])), np.int64)
+        table = np.fromiter(map(len, self.a_bytes), np.int64, len(self.a_bytes))
+        ends = np.cumsum(sizes[together])
+        owner = np.searchsorted(ends, np.cumsum(table[ids]) - table[ids], side="right")
+        lists = [self.whole(units[k]) for k in alone]
+        owner = np.concatenate([np.array(together, np.int64)[owner], np.repeat(np.array(alone, np.int64), [len(x) for x in lists])])
+        ids = np.concatenate([ids, np.fromiter(chain.from_iterable(lists), np.int64)])
+        order = np.argsort(owner, kind="stable") if alone else slice(None)
+        return Side(ids[order], owner[order], self.a_bytes, len(units))
+
+    def second(self, units: list[str]) -> Side:
+        """Tokens of the piece model, which puts the blank before a text itself; for an empty rest it would give nothing."""
+        lists = [ids or [self.blank] for ids in self.b.encode([u[1:] for u in units], num_threads=1)] if units else []
+        owner = np.repeat(np.arange(len(units)), np.fromiter(map(len, lists), np.int64, len(lists)))
+        return Side(np.fromiter(chain.from_iterable(lists), np.int64), owner, self.b_bytes, len(units))
 
 
 _LOADED: dict[tuple[str, str], Aligner] = {}
@@ -147,47 +131,140 @@ def aligner(paths: tuple[str, str]) -> Aligner:
     return _LOADED[paths]
 
 
-class Slice:
-    """Some texts, aligned.
+class Side:
+    """Tokens of one vocabulary over many units: ids, the unit of each, and the byte at which each ends."""
+
+    def __init__(self, ids: np.ndarray, owner: np.ndarray, table: list[bytes], n: int) -> None:
+        self.ids, self.owner = ids, owner
+        parts = [table[k] for k in ids.tolist()]
+        self.sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        self.raw = b"".join(parts)
+        self.bytes_of = np.bincount(owner, self.sizes, n).astype(np.int64)
+
+    def only(self, good: np.ndarray) -> None:
+        keep = good[self.owner]
+        self.ids, self.owner, self.sizes = self.ids[keep], self.owner[keep], self.sizes[keep]
+        self.ends = np.cumsum(self.sizes)
+
+    def grouped(self, other: Side) -> None:
+        """Group of each token; a group ends where tokens of both sides end."""
+        self.last = np.isin(self.ends, other.ends, assume_unique=True)
+        self.group = np.cumsum(self.last) - self.last
 
-    ``rows`` are the texts that have tokens. Row ``k`` of them holds the distinct
-    pairs ``pairs[at]`` for the ``at`` of ``cells`` with owner ``k``, linked ``times`` times.
+
+class Units:
+    """Distinct units, aligned.
+
+    ``good`` are those that both vocabularies give back byte for byte; ``numbers``
+    are n_a, n_b, n_groups and n_links of each; unit ``u`` holds the distinct id
+    pairs ``pairs[starts[u]:starts[u + 1]]``, linked ``times`` times.
     """
 
-    def __init__(self, texts: list[str | None], paths: tuple[str, str], only_pairs: bool = False) -> None:
-        index: dict[str, int] = {}
-        coded = []
-        for text in texts:
-            parts = UNIT.split(" " + text) if text else []
-            coded.append(np.fromiter((index.setdefault(u, len(index)) for u in parts), np.int64, len(parts)))
-        self.units = aligner(paths).units(list(index))
-        good = np.fromiter((u is not None for u in self.units), bool, len(self.units))
-        self.rows = [k for k, ids in enumerate(coded) if len(ids) and good[ids].all()]
-        self.coded = [coded[k] for k in self.rows]
-        used = np.unique(np.concatenate(self.coded)) if self.rows else np.zeros(0, np.int64)
-        none = np.zeros(0, np.int64)
-        flat = [self.units[k].pairs for k in used.tolist()]
-        every = np.concatenate(flat) if flat else none
-        self.pairs, local = np.unique(every, return_inverse=True)
-        if only_pairs:
-            return
-        sizes = np.zeros(len(self.units) + 1, np.int64)
-        sizes[used] = [len(p) for p in flat]
-        starts = np.zeros(len(self.units) + 1, np.int64)
-        starts[used] = np.cumsum(sizes[used]) - sizes[used]
-        times = np.concatenate([self.units[k].times for k in used.tolist()]) if flat else none
-        self.owner, self.at, self.times = [], [], []
-        for k, ids in enumerate(self.coded):
-            distinct, often = np.unique(ids, return_counts=True)
-            count = sizes[distinct]
-            place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(starts[distinct], count)
-            weight = np.repeat(often, count) * times[place]
-            at, where = np.unique(local[place], return_inverse=True)
-            self.owner.append(np.full(len(at), k))
-            self.at.append(at)
-            self.times.append(np.bincount(where, weights=weight, minlength=len(at)).astype(np.int64))
-        join = lambda parts: np.concatenate(parts) if parts else none
-        self.owner, self.at, self.times = join(self.owner), join(self.at), join(self.times)
+    def __init__(self, units: list[str], loaded: Aligner) -> None:
+        self.loaded, n = loaded, len(units)
+        raw = [u.encode() for u in units]
+        sizes = np.fromiter(map(len, raw), np.int64, n)
+        a, b = loaded.first(units, sizes), loaded.second(units)
+        self.good = (a.bytes_of == sizes) & (b.bytes_of == sizes)
+        whole = b"".join(raw)
+        for side in (a, b):
+            if side.raw != whole:
+                ends = np.cumsum(side.bytes_of).tolist()
+                self.good &= np.fromiter((side.raw[x:y] == u for x, y, u in zip([0, *ends], ends, raw)), bool, n)
+        a.only(self.good)
+        b.only(self.good)
+        a.grouped(b)
+        b.grouped(a)
+        self.a, self.b = a, b
+        self.owner = a.owner[a.last]  # unit of each group
+        n_a, n_b = (np.bincount(side.group, minlength=len(self.owner)) for side in (a, b))
+        count = lambda owner, weights=None: np.bincount(owner, weights, n).astype(np.int64)
+        self.numbers = np.stack([count(a.owner), count(b.owner), count(self.owner), count(self.owner, n_a * n_b)], axis=1)
+        self._link(n_a, n_b, n)
+
+    def _link(self, n_a: np.ndarray, n_b: np.ndarray, n: int) -> None:
+        a, b = self.a, self.b
+        first_a, first_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
+        wide = n_a * n_b > WIDE_GROUP
+        x = np.flatnonzero(~wide[a.group])
+        each = n_b[a.group[x]]
+        y = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat(first_b[a.group[x]], each)
+        x = np.repeat(x, each)
+        keys, times = [a.owner[x] << 32 | a.ids[x] << SECOND | b.ids[y]], [np.ones(len(x), np.int64)]
+        for g in np.flatnonzero(wide).tolist():  # repeated ids are counted before they are paired
+            (p, m), (q, k) = (np.unique(side.ids[f[g] : f[g] + c[g]], return_counts=True) for side, f, c in ((a, first_a, n_a), (b, first_b, n_b)))
+            keys.append((self.owner[g] << 32 | p[:, None] << SECOND | q[None, :]).ravel())
+            times.append((m[:, None] * k[None, :]).ravel())
+        keys, where = np.unique(np.concatenate(keys), return_inverse=True)
+        self.times = np.bincount(where, np.concatenate(times), len(keys)).astype(np.int64)
+        self.pairs = keys & 0xFFFFFFFF
+        self.starts = np.searchsorted(keys >> 32, np.arange(n + 1))
+
+    def texts(self) -> pa.LargeStringArray:
+        """Groups of each unit as text, each with a semicolon after it."""
+        a, b = self.a, self.b
+        n_a, n_b = (np.bincount(side.group, minlength=len(self.owner)) for side in (a, b))
+        at = np.zeros(len(a.ids) + len(b.ids), np.int64)
+        at[np.arange(len(a.ids)) + (np.cumsum(n_b) - n_b)[a.group]] = 2 * a.ids + a.last
+        at[np.arange(len(b.ids)) + np.cumsum(n_a)[b.group]] = 2 * (len(self.loaded.a_bytes) + b.ids) + b.last
+        shown = self.loaded.marks.take(pa.array(at))
+        bounds = np.frombuffer(shown.buffers()[1], np.int64, len(at) + 1)
+        tokens = np.concatenate(([0], np.cumsum(self.numbers[:, 0] + self.numbers[:, 1])))
+        offsets = pa.py_buffer(np.ascontiguousarray(bounds[tokens]))
+        return pa.LargeStringArray.from_buffers(len(tokens) - 1, offsets, shown.buffers()[2])
+
+
+def unit_codes(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct units, the index of each unit of all texts, and each text's bounds in that list."""
+    plain = [None if not t or t[0] == " " or SPACED.search(t) else t for t in texts]
+    lists = pc.split_pattern(pa.array(plain, pa.large_string()), " ")
+    coded = lists.flatten().dictionary_encode()
+    units, codes = [" " + w for w in coded.dictionary.to_pylist()], coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    if not any(t and p is None for t, p in zip(texts, plain)):
+        return units, codes, np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())))
+    index = {u: k for k, u in enumerate(units)}
+    sizes = np.fromiter(pc.fill_null(pc.list_value_length(lists), 0).to_pylist(), np.int64, len(texts))
+    ends = np.cumsum(sizes)
+    parts = []
+    for k, text in enumerate(texts):
+        if plain[k] is not None:
+            parts.append(codes[ends[k] - sizes[k] : ends[k]])
+        else:
+            found = UNIT.split(" " + text) if text else []
+            parts.append(np.fromiter((index.setdefault(u, len(index)) for u in found), np.int64, len(found)))
+    bounds = np.concatenate(([0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))))
+    return list(index), np.concatenate(parts) if parts else codes, bounds
+
+
+class Slice:
+    """Some texts, aligned: text ``owner[k]`` holds the distinct pair ``pairs[at[k]]``, linked ``times[k]`` times."""
+
+    def __init__(self, texts: list[str | None], paths: tuple[str, str]) -> None:
+        found, codes, bounds = unit_codes(texts)
+        self.units, n = Units(found, aligner(paths)), len(texts)
+        row = np.repeat(np.arange(n), np.diff(bounds))
+        bad = np.bincount(row, ~self.units.good[codes], n) > 0
+        keep = ~bad[row]
+        self.row, self.codes = row[keep], codes[keep]
+        both, often = np.unique(self.row << 32 | self.codes, return_counts=True)
+        unit, owner = both & 0xFFFFFFFF, both >> 32
+        count = np.diff(self.units.starts)[unit]
+        place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(self.units.starts[unit], count)
+        self.pairs, local = np.unique(self.units.pairs[place], return_inverse=True)
+        cells, where = np.unique(np.repeat(owner, count) << 32 | local, return_inverse=True)
+        self.owner, self.at = cells >> 32, cells & 0xFFFFFFFF
+        self.times = np.bincount(where, np.repeat(often, count) * self.units.times[place], len(cells)).astype(np.int64)
+        self.numbers = np.stack([np.bincount(self.row, self.units.numbers[self.codes, k], n).astype(np.int64) for k in range(4)], axis=1)
+        self.n = n
+
+    def groups(self) -> list[bytes]:
+        """Groups of each text, joined by semicolons."""
+        shown = self.units.texts().take(pa.array(self.codes))
+        bounds = np.frombuffer(shown.buffers()[1], np.int64, len(shown) + 1) if len(shown) else np.zeros(1, np.int64)
+        raw = memoryview(shown.buffers()[2]) if len(shown) else memoryview(b"")
+        ends = np.concatenate(([0], np.cumsum(np.bincount(self.row, minlength=self.n))))
+        at = bounds[ends].tolist()
+        return [raw[x : max(x, y - 1)] for x, y in zip(at, at[1:])]
 
 
 def text_slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
@@ -272,15 +349,45 @@ class PerfectHash:
 HASH = "shard int, sizes binary, bits binary, keys binary"
 
 
-def distinct_pairs(docs: DataFrame, paths: tuple[str, str], text: str) -> DataFrame:
-    """(pair) of all id pairs linked anywhere, stored."""
+def slice_counts(docs: DataFrame, paths: tuple[str, str], text: str) -> DataFrame:
+    """(slice, pairs, counts), stored: the distinct id pairs of each slice and the documents of it that hold them."""
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         texts = batch[0].to_pylist()
         for a, b in text_slices(texts):
-            yield {"pair": pa.array(Slice(texts[a:b], paths, only_pairs=True).pairs, pa.int64())}
+            found = Slice(texts[a:b], paths)
+            held = np.bincount(found.at, minlength=len(found.pairs))
+            yield {
+                "slice": pa.array([uuid.uuid4().int >> 65], pa.int64()), "pairs": pa.array([found.pairs.astype("<i8").tobytes()], pa.binary()),
+                "counts": pa.array([held.astype("<i8").tobytes()], pa.binary()),
+            }
+
+    return settle(map_batches(docs.select(F.col(f"`{text}`")), "slice long, pairs binary, counts binary", run))
+
+
+def distinct_pairs(counted: DataFrame) -> DataFrame:
+    """(pair) of all id pairs linked anywhere, stored."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[dict]:
+        for pairs in batch[0]:
+            yield {"pair": pa.array(np.frombuffer(pairs.as_py(), "<i8"))}
+
+    return settle(map_batches(counted.select("pairs"), "pair long", run).distinct())
 
-    return settle(map_batches(docs.select(F.col(f"`{text}`")), "pair long", run).distinct())
+
+def sharded_counts(counted: DataFrame, shards: int) -> DataFrame:
+    """(shard, slice, pairs, counts): the same arrays cut into shards."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[dict]:
+        for uid, pairs, counts in zip(batch["slice"], batch["pairs"], batch["counts"]):
+            pairs, counts = (np.frombuffer(x.as_py(), "<i8") for x in (pairs, counts))
+            for shard, part in by_shard(pairs, shards):
+                yield {
+                    "shard": pa.array([shard], pa.int32()), "slice": pa.array([uid.as_py()], pa.int64()),
+                    "pairs": pa.array([pairs[part].tobytes()], pa.binary()), "counts": pa.array([counts[part].tobytes()], pa.binary()),
+                }
+
+    return map_batches(counted, "shard int, slice long, pairs binary, counts binary", run)
 
 
 def hashes(pairs: DataFrame, shards: int) -> DataFrame:
@@ -301,9 +408,9 @@ def hashes(pairs: DataFrame, shards: int) -> DataFrame:
     return settle(placed.groupBy("shard").applyInArrow(build, HASH))
 
 
-def by_shard(found: Slice, shards: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(shard, positions in the slice's pairs) of each shard that the slice has pairs of."""
-    owner = shard_of(found.pairs, shards)
+def by_shard(pairs: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(shard, positions) of each shard that some of ``pairs`` belong to."""
+    owner = shard_of(pairs, shards)
     order = np.argsort(owner, kind="stable")
     cuts = np.flatnonzero(np.diff(owner[order])) + 1
     for part in np.split(order, cuts):
@@ -311,28 +418,10 @@ def by_shard(found: Slice, shards: int) -> Iterator[tuple[int, np.ndarray]]:
             yield int(owner[part[0]]), part
 
 
-def slice_counts(docs: DataFrame, paths: tuple[str, str], text: str, shards: int) -> DataFrame:
-    """(shard, salt, pairs, counts): the documents of a slice that hold each of its pairs, stored."""
-
-    def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        texts = batch[0].to_pylist()
-        for a, b in text_slices(texts):
-            found = Slice(texts[a:b], paths)
-            held = np.bincount(found.at, minlength=len(found.pairs))
-            for shard, part in by_shard(found, shards):
-                yield {
-                    "shard": pa.array([shard], pa.int32()), "salt": pa.array([uuid.uuid4().int >> 96], pa.int64()),
-                    "pairs": pa.array([found.pairs[part].astype("<i8").tobytes()], pa.binary()),
-                    "counts": pa.array([held[part].astype("<i8").tobytes()], pa.binary()),
-                }
-
-    return settle(map_batches(docs.select(F.col(f"`{text}`")), "shard int, salt long, pairs binary, counts binary", run))
-
-
-def summed_vectors(sent: DataFrame, known: DataFrame, shards: int) -> DataFrame:
+def summed_vectors(counted: DataFrame, known: DataFrame, shards: int) -> DataFrame:
     """(shard, counts, best): documents of each pair by index, and whether a pair is its first id's most frequent."""
-    arrays = sent.count()
-    groups = max(1, -(-arrays // (FAN * shards)))
+    groups = max(1, -(-counted.count() // FAN))
+    sent = sharded_counts(counted, shards)
 
     def add(sparse: pa.Table, table: pa.Table) -> pa.Table:
         if not sparse.num_rows:
@@ -347,7 +436,7 @@ def summed_vectors(sent: DataFrame, known: DataFrame, shards: int) -> DataFrame:
         total = sum(np.frombuffer(v.as_py(), "<i8") for v in table["vector"])
         return pa.table({"shard": table["shard"][:1], "vector": pa.array([total.astype("<i8").tobytes()], pa.binary())})
 
-    salted = sent.withColumn("part", F.pmod("salt", F.lit(groups)).cast("int"))
+    salted = sent.withColumn("part", F.pmod(F.xxhash64("slice"), F.lit(groups)).cast("int"))
     copies = known.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     vectors = salted.groupBy("shard", "part").cogroup(copies.groupBy("shard", "part")).applyInArrow(add, "shard int, vector binary")
     while groups > 1:
@@ -365,13 +454,27 @@ def summed_vectors(sent: DataFrame, known: DataFrame, shards: int) -> DataFrame:
     return known.join(vectors, "shard").groupBy("shard").applyInArrow(finish, "shard int, counts binary, best binary")
 
 
+def written_cells(row: np.ndarray, pair: np.ndarray, times: np.ndarray) -> bytes:
+    """Rows in order, how many pairs each holds, the pairs, and how often each is linked, in as few bytes as fit."""
+    rows, sizes = np.unique(row, return_counts=True)
+    width = next(w for w in (1, 2, 4, 8) if w == 8 or times.max(initial=0) < 1 << 8 * w)
+    head = np.array([len(rows), len(pair), width], "<i8").tobytes()
+    return b"".join([head, *(x.astype("<u4").tobytes() for x in (rows, sizes, pair)), times.astype(f"<u{width}").tobytes()])
+
+
+def read_cells(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, where the pairs of each begin, the pairs, and how often each is linked."""
+    n, m, width = np.frombuffer(raw, "<i8", 3).tolist()
+    rows, sizes = np.frombuffer(raw, "<u4", n, 24), np.frombuffer(raw, "<u4", n, 24 + 4 * n)
+    pair, times = np.frombuffer(raw, "<u4", m, 24 + 8 * n), np.frombuffer(raw, f"<u{width}", m, 24 + 8 * n + 4 * m)
+    return rows, np.cumsum(sizes, dtype=np.int64) - sizes, pair, times.astype(np.int64)
+
+
 ROWS = "slice long, row int, id {id}, n_a long, n_b long, n_groups long, n_links long, groups string, shard int, pairs binary, cells binary"
 
 
 def aligned(docs: DataFrame, paths: tuple[str, str], id: str, text: str, shards: int, digest: bool) -> DataFrame:
     """The third pass, stored: rows of documents (shard null) and each slice's pairs by shard with the rows that hold them."""
-    from hashlib import sha256
-
     narrow = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"))
     schema = ROWS.format(id=narrow.schema["id"].dataType.simpleString())
 
@@ -379,30 +482,24 @@ def aligned(docs: DataFrame, paths: tuple[str, str], id: str, text: str, shards:
         texts = batch["text"].to_pylist()
         for first, last in text_slices(texts):
             found = Slice(texts[first:last], paths)
-            n, uid = last - first, uuid.uuid4().int >> 65
-            numbers, groups = np.zeros((n, 4), np.int64), [""] * n
-            table = np.array([(0,) * 4 if u is None else u.numbers for u in found.units], np.int64).reshape(-1, 4)
-            for row, ids in zip(found.rows, found.coded):
-                numbers[row] = table[ids].sum(axis=0)
-                whole = ";".join([found.units[k].text for k in ids.tolist()])
-                groups[row] = sha256(whole.encode()).hexdigest() if digest else whole
+            n, uid, numbers = last - first, uuid.uuid4().int >> 65, found.numbers
+            groups = [(sha256(g).hexdigest() if digest else bytes(g).decode()) if len(g) else "" for g in found.groups()]
             none = lambda kind, n: pa.nulls(n, kind)
             yield {
                 "slice": pa.array(np.full(n, uid), pa.int64()), "row": pa.array(np.arange(n), pa.int32()), "id": batch["id"].slice(first, n),
                 **{c: pa.array(numbers[:, k], pa.int64()) for k, c in enumerate(("n_a", "n_b", "n_groups", "n_links"))},
                 "groups": pa.array(groups, pa.string()), "shard": none(pa.int32(), n), "pairs": none(pa.binary(), n), "cells": none(pa.binary(), n),
             }
-            rows = np.array(found.rows, np.int64)
-            for shard, part in by_shard(found, shards):
+            for shard, part in by_shard(found.pairs, shards):
                 local = np.full(len(found.pairs), -1, np.int64)
                 local[part] = np.arange(len(part))
                 here = np.flatnonzero(local[found.at] >= 0)
-                cells = np.stack([rows[found.owner[here]], local[found.at[here]], found.times[here]]).astype("<i8")
+                cells = written_cells(found.owner[here], local[found.at[here]], found.times[here])
                 yield {
                     "slice": pa.array([uid], pa.int64()), "row": none(pa.int32(), 1), "id": none(batch["id"].type, 1),
                     **{c: none(pa.int64(), 1) for c in ("n_a", "n_b", "n_groups", "n_links")}, "groups": none(pa.string(), 1),
                     "shard": pa.array([shard], pa.int32()), "pairs": pa.array([found.pairs[part].astype("<i8").tobytes()], pa.binary()),
-                    "cells": pa.array([cells.tobytes()], pa.binary()),
+                    "cells": pa.array([cells], pa.binary()),
                 }
 
     return settle(map_batches(narrow, schema, run))
@@ -410,7 +507,7 @@ def aligned(docs: DataFrame, paths: tuple[str, str], id: str, text: str, shards:
 
 def looked_up(sent: DataFrame, known: DataFrame, vectors: DataFrame, shards: int) -> DataFrame:
     """(slice, row, n_best, count_sum) of each document that has pairs of a shard."""
-    groups = max(1, -(-sent.count() // (FAN * shards)))
+    groups = max(1, -(-sent.select("slice").distinct().count() // FAN))
     schema = pa.schema([("slice", pa.int64()), ("row", pa.int32()), ("n_best", pa.int64()), ("count_sum", pa.int64())])
 
     def look(cells: pa.Table, table: pa.Table) -> pa.Table:
@@ -421,11 +518,8 @@ def looked_up(sent: DataFrame, known: DataFrame, vectors: DataFrame, shards: int
             best = np.frombuffer(table["best"][0].as_py(), bool)
             for uid, pairs, raw in zip(cells["slice"], cells["pairs"], cells["cells"]):
                 at = found.index(np.frombuffer(pairs.as_py(), "<i8"))
-                row, pair, times = np.frombuffer(raw.as_py(), "<i8").reshape(3, -1)
-                rows, where = np.unique(row, return_inverse=True)
-                sums = np.zeros((2, len(rows)), np.int64)
-                np.add.at(sums[0], where, times * best[at][pair])
-                np.add.at(sums[1], where, times * counts[at][pair])
+                rows, starts, pair, times = read_cells(raw.as_py())
+                sums = [np.add.reduceat(times * of[at][pair], starts) for of in (best, counts)]
                 parts.append(pa.Table.from_arrays([
                     pa.array(np.full(len(rows), uid.as_py()), pa.int64()), pa.array(rows, pa.int32()), pa.array(sums[0]), pa.array(sums[1]),
                 ], schema=schema))
@@ -444,10 +538,11 @@ def align(docs: DataFrame, first: str, second: str, id: str = "doc_id", text: st
     is the SHA-256 of the groups' text, or with ``digest=False`` the text itself.
     """
     paths = (first, second)
-    pairs = distinct_pairs(docs, paths, text)
+    counted = slice_counts(docs, paths, text)
+    pairs = distinct_pairs(counted)
     shards = max(1, -(-pairs.count() // SHARD_PAIRS))
     known = hashes(pairs, shards)
-    vectors = settle(summed_vectors(slice_counts(docs, paths, text, shards), known, shards))
+    vectors = settle(summed_vectors(counted, known, shards))
     every = aligned(docs, paths, id, text, shards, digest)
     sums = looked_up(every.where("shard is not null").select("slice", "shard", "pairs", "cells"), known, vectors, shards)
     rows = every.where("shard is null").select("slice", "row", "id", "n_a", "n_b", "n_groups", "n_links", "groups")
