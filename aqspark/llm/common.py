@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from aqspark.session import settle
 
@@ -20,6 +21,16 @@ WORD_BREAKS = r"[\x20\x09-\x0D]+"
 SLICE_BYTES = 16 << 20
 
 
+def packed(df: DataFrame, name: str = "_row") -> DataFrame:
+    """``df`` with all its columns in one struct, so that names of later columns clash with none."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias(name))
+
+
+def unpacked(df: DataFrame, columns: list[str], name: str = "_row") -> DataFrame:
+    """The columns of a struct as they were."""
+    return df.select(*(F.col(name).getField(c).alias(c) for c in columns))
+
+
 def words(text: str | None) -> list[bytes]:
     """Words of a text as UTF-8; none for null."""
     return text.encode().split() if text else []
@@ -52,7 +63,7 @@ def encoded_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False), bounds
 
 
-def map_batches(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], Iterator[dict] | dict]) -> DataFrame:
+def map_batches(df: DataFrame, schema: str | StructType, fn: Callable[[pa.RecordBatch], Iterator[dict] | dict]) -> DataFrame:
     """Apply ``fn`` to each Arrow batch; it returns (or yields) dicts of columns."""
 
     def run(batches):

@@ -3,11 +3,17 @@
 The lexer reads the forms that source code and configuration share: a name
 (quoted or not), one of ``= : := =>``, and a value of quoted or bare terms
 joined by ``+``; ``<name>value</name>`` is read the same way, and so are pairs
-inside a bare value. A term that names an earlier constant of the same text
-stands for that constant's literals; ``Bearer`` or ``Basic`` before a value is
-no part of it. A literal is reported if its target's name and its own shape
-score at least ``THRESHOLD`` together, and so are the parts of a concatenation
-whose joined value does, if one of them is written in place.
+inside a bare value, which ends where the next sensitive pair in it begins. A
+term that names an earlier constant of the same text stands for that constant's
+literals; ``Bearer`` or ``Basic`` before a value is no part of it. A literal is
+reported if its target's name and its own shape score at least ``THRESHOLD``
+together, and so are the parts of a concatenation whose joined value does,
+wherever they are written; the first ``JOINED`` characters tell the shape of a
+joined value.
+
+Values refer to the constants in them instead of copying their parts, claims are
+handed down these references once, and no character belongs to two literals that
+are scored in place, so the time of a scan grows with the text's length.
 
 Defined results: null text is empty; offsets are code points, ends exclusive;
 equal rows give equal rows; whole texts are read in one pass without a shuffle.
@@ -22,8 +28,9 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from aqspark.llm.common import map_batches
+from aqspark.llm.common import map_batches, packed
 
 KINDS = ("assign", "access", "hex", "named")  # fixed values: the order of kinds at one start
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -40,6 +47,8 @@ PLACEHOLDER = re.compile(r"your[_-]|x{4,}|\*{3,}|\.{3}|\$\{|\$\(|%\(|\{\{|<[a-z_
 # fixed values: words that stand for no secret if a literal is made of nothing else, but for a few digits or marks
 PLAIN = re.compile(r"(?:[\W\d_]{0,4}(?:change.?me|example|placeholder|none|null|true|false|undefined))+[\W\d_]{0,4}", re.I)
 THRESHOLD = 0.6
+JOINED = 256  # characters of a joined value that tell its shape
+QUOTES = "\"'`"
 MIN_LITERAL = 8
 
 TERM = r"""(?:"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|`[^`\n]*+`|[^\s"'`,;(){}\[\]<>+|]++)"""
@@ -69,52 +78,119 @@ def literal_score(value: str) -> float:
     return min(1.0, bits / 3.0)
 
 
-def lexed(text: str) -> list[tuple[int, int, str, float]]:
-    """(start, end, target name, score) of literals assigned to sensitive names."""
-    constants: dict[str, list[tuple[int, int]]] = {}
-    found: dict[tuple[int, int], tuple[str, float]] = {}
-    pos, terms, longest = 0, [], 0  # where to look on; the terms of the value last read; the longest constant's name
+class Leaf:
+    """A literal: its span, and the best claims made on it."""
+
+    __slots__ = ("start", "end", "quoted", "weight", "floor")
+
+    def __init__(self, start: int, end: int, quoted: bool) -> None:
+        self.start, self.end, self.quoted = start, end, quoted
+        self.weight, self.floor = (0.0, ""), (0.0, "")  # of a target's name; of a joined value
+
+
+class Node:
+    """A value: literals and earlier values in turn, each held by reference."""
+
+    __slots__ = ("parts", "weight", "floor", "joined", "pieces")
+
+    def __init__(self, parts: list[Leaf | Node], weight: float = 0.0, name: str = "") -> None:
+        self.parts, self.weight, self.floor = parts, (weight, name), (0.0, "")
+        self.joined, self.pieces = "", 0
+
 
-    def report(name: str, span: tuple[int, int], score: float) -> None:
-        if score >= THRESHOLD and score > found.get(span, ("", 0.0))[1]:
-            found[span] = (name, score)
+def read_values(text: str) -> list[Node]:
+    """All assigned values of ``text``, each after those it refers to."""
+    nodes: list[Node] = []
+    constants: dict[str, Node] = {}
+    longest = 0  # length of the longest constant's name
+    terms: list[tuple[int, int]] = []  # of the value last read
+    rest: list[Node | None] = []  # the value from each of its terms on
+    term = pos = 0
+    any_leaf = named_leaf = None  # bare literals that the next pair inside cuts, of plain and of sensitive names
+
+    def made(parts, weight=0.0, name=""):
+        nodes.append(Node([x for x in parts if x is not None], weight, name))
+        return nodes[-1]
+
+    def literal(start: int, end: int, quoted: bool) -> Leaf:
+        scheme = SCHEME.match(text, start)
+        return Leaf(*scheme.span(1), quoted) if scheme else Leaf(start, end, quoted)
 
     while m := TARGET.search(text, pos):
         pos = m.end()
-        joined, in_place = [], False  # literals and constants of a concatenation
+        name = m["tag"] or m["name"]
+        weight, leaf = name_score(name), None
         if m["tag"]:
-            name, parts = m["tag"], [m.span("inner")]
+            node = made([literal(*m.span("inner"), True)], weight, name)
         else:
-            name, parts = m["name"], []
-            if terms and pos < terms[0][1]:
-                terms = [(pos, terms[0][1]), *terms[1:]]  # inside a bare value, which both end together
+            while term < len(terms) and terms[term][1] <= pos:
+                term += 1
+            if term < len(terms) and terms[term][0] <= pos and text[terms[term][0]] not in QUOTES:
+                # inside a bare value, which both end together unless another pair begins
+                for outer in (any_leaf, named_leaf if weight else None):
+                    if outer is not None and outer.start <= m.start() < outer.end:
+                        outer.end = m.start()
+                leaf = literal(pos, terms[term][1], False)
+                node = made([leaf, rest[term + 1]], weight, name)
             else:
                 value = VALUE.match(text, pos)
                 if not value:
                     continue
-                terms = [t.span() for t in ONE_TERM.finditer(text, *value.span())]
+                terms, term = [t.span() for t in ONE_TERM.finditer(text, *value.span())], 0
+                rest = [None] * (len(terms) + 1)
+                for k in range(len(terms) - 1, -1, -1):
+                    a, b = terms[k]
+                    quoted = text[a] in QUOTES
+                    known = None if quoted or b - a > longest else constants.get(text[a:b])
+                    part = known or literal(a + quoted, b - quoted, quoted)
+                    if k == 0 and not quoted and known is None:
+                        leaf = part
+                    rest[k] = made([part, rest[k + 1]])
+                node = made([rest[0]], weight, name)
                 # a bare value may hold further pairs, so only quoted terms are passed over
-                pos = next((a for a, _ in terms if text[a] not in "\"'`"), value.end())
-            for a, b in terms:
-                quoted = text[a] in "\"'`"
-                known = None if quoted or b - a > longest else constants.get(text[a:b])
-                parts += known or [(a + quoted, b - quoted)]
-                joined += known or ([(a + 1, b - 1)] if quoted else [])
-                in_place |= quoted
-            if s := SCHEME.match(text, parts[0][0]):
-                parts[0] = s.span(1)
-        constants[name] = parts
-        longest = max(longest, len(name))
-        weight = name_score(name)
+                pos = next((a for a, _ in terms if text[a] not in QUOTES), value.end())
         if weight:
-            for span in parts:
-                report(name, span, weight * literal_score(text[slice(*span)]))
-            if in_place and len(joined) > 1:
-                score = weight * literal_score("".join([text[slice(*span)] for span in joined]))
-                for span in joined:
-                    if span[0] < span[1]:
-                        report(name, span, score)
-    return [(*span, *what) for span, what in found.items()]
+            named_leaf, any_leaf = leaf, None
+        elif leaf is not None:
+            any_leaf = leaf
+        constants[name] = node
+        longest = max(longest, len(name))
+    return nodes
+
+
+def lexed(text: str) -> list[tuple[int, int, str, float]]:
+    """(start, end, target name, score) of literals assigned to sensitive names."""
+    nodes = read_values(text)
+    for node in nodes:
+        alone = len(node.parts) == 1
+        for part in node.parts:
+            if isinstance(part, Node):
+                node.joined += part.joined[: JOINED - len(node.joined)]
+                node.pieces += part.pieces
+            elif part.quoted or alone:
+                node.joined += text[part.start : min(part.end, part.start + JOINED - len(node.joined))]
+                node.pieces += part.start < part.end
+        node.pieces = min(node.pieces, 2)
+        if node.weight[0] and node.pieces > 1:
+            node.floor = (node.weight[0] * literal_score(node.joined), node.weight[1])
+    leaves: dict[int, Leaf] = {}
+    for node in reversed(nodes):  # what is claimed of a value is claimed of all its parts
+        for part in node.parts:
+            if node.weight[0] and node.weight[0] >= part.weight[0]:
+                part.weight = node.weight
+            reached = isinstance(part, Node) or part.quoted or len(node.parts) == 1
+            if reached and node.floor[0] and node.floor[0] >= part.floor[0]:
+                part.floor = node.floor
+            if isinstance(part, Leaf) and part.start < part.end:
+                leaves[id(part)] = part
+    found: dict[tuple[int, int], tuple[float, str]] = {}
+    for leaf in leaves.values():
+        weight, name = leaf.weight
+        own = (weight * literal_score(text[leaf.start : leaf.end]) if weight else 0.0, name)
+        best = max(own, leaf.floor, key=lambda x: x[0])
+        if best[0] >= THRESHOLD and best[0] > found.get((leaf.start, leaf.end), (0.0, ""))[0]:
+            found[leaf.start, leaf.end] = best
+    return [(*span, name, score) for span, (score, name) in found.items()]
 
 
 def scan(text: str) -> list[dict]:
@@ -174,12 +250,11 @@ def spans(findings: str = "findings", kinds: tuple[str, ...] = KINDS) -> Column:
 
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with secret values in ``text`` replaced; null stays null, all columns and rows stay."""
-    names = df.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    at = names.index(text)
+    rows = packed(df).select("_row", F.col("_row").getField(text).cast("string").alias("_text"))
 
     def run(batch: pa.RecordBatch) -> dict:
-        new = [None if t is None else redacted(t, scan(t)) for t in (x.as_py() for x in batch.column(at))]
-        return {n: pa.array(new, pa.string()) if k == at else batch.column(k) for k, n in enumerate(names)}
+        new = [None if t is None else redacted(t, scan(t)) for t in batch.column(1).to_pylist()]
+        return {"_row": batch.column(0), "_new": pa.array(new, pa.string())}
 
-    return map_batches(df, schema, run)
+    done = map_batches(rows, StructType([rows.schema["_row"], StructField("_new", StringType())]), run)
+    return done.select(*(F.col("_new").alias(c) if c == text else F.col("_row").getField(c).alias(c) for c in df.columns))
