@@ -16,11 +16,11 @@ code-point order; equal rows give equal rows.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +42,7 @@ SCRIPTS = (
 )
 N_SCRIPTS = 15
 _STARTS, _SCRIPT = np.array([s for s, _ in SCRIPTS]), np.array([0, *(k for _, k in SCRIPTS)])
-NO_LETTER = re.compile(r"[^\w\n]|[\d_]")
+NO_LETTER = regex.compile(r"[^\p{L}\p{M}\n]+|(?<![\p{L}\p{M}])\p{M}+")  # marks count with the letter before them
 
 
 def letter_words(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray]:

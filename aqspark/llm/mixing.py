@@ -26,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from aqspark.llm.common import WORD_BREAKS
+from aqspark.llm.common import WORD_BREAKS, packed
 from aqspark.session import settle
 
 WEIGHTS = (5, 2, 1)
@@ -221,23 +221,24 @@ def mixed_documents(df: DataFrame, id: str = "doc_id", text: str = "text", sourc
     repeated on new lines; else the pieces follow each other in order. Equal
     rows (same id, source and text) become one row with the pieces of all.
     """
-    digest = F.xxhash64(F.lit(1), F.col(f"`{text}`"))
-    named = df.withColumn("_ref", F.struct(F.col(f"`{id}`").alias("id"), digest.alias("digest")))
-    found = mix(named, "_ref", text, source, seed)
+    # the caller's columns stay in one struct, so that their names clash with none here
+    rows = packed(df)
+    own = lambda c: F.col("_row").getField(c)
+    digest = F.xxhash64(F.lit(1), own(text))
+    named = rows.select("_row", F.struct(own(id).alias("id"), digest.alias("digest")).alias("_ref"), own(text).alias("_text"), own(source).alias("_from"))
+    found = mix(named, "_ref", "_text", "_from", seed)
     piece = F.struct(F.col("piece_start").alias("start"), F.col("piece_length").alias("length"), "shard")
     per = found.pieces.groupBy("_id", "_size", "_source").agg(F.sort_array(F.collect_list(piece)).alias("_pieces"), F.sum("piece_length").alias("_taken"))
-    kept = named.dropDuplicates(["_ref", source])
-    same = (kept["_ref"].eqNullSafe(per["_id"])) & kept[source].eqNullSafe(per["_source"])
-    rows = kept.join(per, same)
-    whole = F.col(f"`{text}`")
-    words = F.split(F.btrim(whole, F.lit(" \t\n\x0b\x0c\r")), WORD_BREAKS)
-    rows = rows.withColumn("_words", words)
+    kept = named.dropDuplicates(["_ref", "_from"])
+    same = kept["_ref"].eqNullSafe(per["_id"]) & kept["_from"].eqNullSafe(per["_source"])
+    rows = kept.join(per, same).withColumn("_words", F.split(F.btrim("_text", F.lit(" \t\n\x0b\x0c\r")), WORD_BREAKS))
     times = (F.col("_taken") / F.col("_size")).cast("int")
     joined = F.array_join(F.flatten(F.transform("_pieces", lambda p: F.slice("_words", (p["start"] + 1).cast("int"), p["length"].cast("int")))), " ")
     starts = F.size(F.array_distinct(F.transform("_pieces", lambda p: p["start"])))
     complete = (F.col("_taken") == times * F.col("_size")) & (starts * times == F.size("_pieces"))
-    new = F.when(complete, F.array_join(F.array_repeat(whole, times), "\n")).otherwise(joined)
-    out = {c: F.col(f"`{c}`") for c in df.columns} | {text: new}
+    new = F.when(complete, F.array_join(F.array_repeat("_text", times), "\n")).otherwise(joined)
+    rows = rows.select("_row", new.alias("_new"))
+    out = {c: own(c) for c in df.columns} | {text: F.col("_new")}
     if n_chars in df.columns:
-        out[n_chars] = F.length(new).cast(df.schema[n_chars].dataType)
+        out[n_chars] = F.length("_new").cast(df.schema[n_chars].dataType)
     return rows.select(*(e.alias(c) for c, e in out.items()))

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aqspark.llm.common import WORD_BREAKS
+from aqspark.llm.common import WORD_BREAKS, packed, unpacked
 from aqspark.session import settle
 
 MIN_WORDS = 50
@@ -170,10 +170,11 @@ def keep(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     The verdict follows from text and language alone, so the rejected ones are
     known by a 128-bit hash of both and taken out by an anti join.
     """
-    columns = [F.col(f"`{text}`"), F.col(f"`{lang}`")]
+    rows = packed(df)
+    columns = [F.col("_row").getField(c) for c in (text, lang)]
     parts = [x for c in columns for x in (c.isNull(), c)]
     keys = [F.xxhash64(F.lit(seed), *parts).alias(f"_key{seed}") for seed in (1, 2)]
-    narrow = df.select(columns[0].alias("_text"), columns[1].alias("_lang"), *keys)
+    narrow = rows.select(columns[0].alias("_text"), columns[1].alias("_lang"), *keys)
     found = settle(features(narrow, "_text", "_lang").drop("_text"))
     rejected = settle(verdict(found, references(found, "_lang"), "_lang").where("not kept").select("_key1", "_key2").distinct())
-    return df.select("*", *keys).join(rejected, ["_key1", "_key2"], "left_anti").drop("_key1", "_key2")
+    return unpacked(rows.select("_row", *keys).join(rejected, ["_key1", "_key2"], "left_anti"), df.columns)

@@ -32,8 +32,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from aqspark.llm.common import connected_components, map_batches
+from aqspark.llm.common import connected_components, map_batches, packed, unpacked
 from aqspark.session import settle
 
 WIDTH = 3  # words in a shingle
@@ -65,7 +66,7 @@ def fingerprints(df: DataFrame, text: str = "text", name: str = "_fp", keep: lis
     """``df``'s columns (or ``keep``) with a signed 64-bit fingerprint column ``name``."""
     rows = df.select(*[F.col(f"`{c}`") for c in (df.columns if keep is None else keep)], F.col(f"`{text}`").alias("_simhash_text"))
     fields = [f for f in rows.schema.fields if f.name != "_simhash_text"]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), f"`{name}` bigint"])
+    schema = StructType([*fields, StructField(name, LongType())])
 
     def run(batch: pa.RecordBatch) -> dict:
         column = batch.column(batch.num_columns - 1)
@@ -217,17 +218,23 @@ def groups(prints: DataFrame, id: str = "doc_id", fp: str = "_fp", crowded: int
 
 def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", crowded: int = CROWDED) -> DataFrame:
     """id, fingerprint (16 hex digits) and component_id of every row of ``df``."""
-    prints = settle(fingerprints(df, text, keep=[id]))
-    found = settle(groups(prints, id, crowded=crowded)).select(F.col("fp").alias("_fp"), "component_id")
-    return prints.join(found, "_fp").select(id, F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
+    alone = df.select(F.col(f"`{id}`").alias("_id"), F.col(f"`{text}`").alias("_text"))
+    prints = settle(fingerprints(alone, "_text", keep=["_id"]))
+    found = settle(groups(prints, "_id", crowded=crowded)).select(F.col("fp").alias("_fp"), "component_id")
+    shown = F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint")
+    return prints.join(found, "_fp").select(F.col("_id").alias(id), shown, "component_id")
 
 
 def keep_one(df: DataFrame, id: str = "doc_id", text: str = "text", crowded: int = CROWDED) -> DataFrame:
     """One row of each component: the smallest id (null if all are), then the smallest fingerprint; of rows with equal id and fingerprint, one stays."""
-    prints = fingerprints(df, text)
-    found = settle(groups(settle(fingerprints(df, text, keep=[id])), id, crowded=crowded))
+    rows = packed(df)
+    body, key = F.col("_row").getField(text), F.col("_row").getField(id)
+    prints = fingerprints(rows.select("_row", body.alias("_text")), "_text", keep=["_row"])
+    alone = fingerprints(rows.select(key.alias("_id"), body.alias("_text")), "_text", keep=["_id"])
+    found = settle(groups(settle(alone), "_id", crowded=crowded))
     # a component is known by its root, as several may have one smallest id or none
     least = found.where(F.col("first_id").eqNullSafe(F.col("component_id")))
-    kept = least.groupBy("root").agg(F.min("first_id").alias("_id"), F.min("fp").alias("_fp")).drop("root")
-    same = prints[id].eqNullSafe(kept["_id"]) & (prints["_fp"] == kept["_fp"])
-    return prints.join(kept, same, "left_semi").dropDuplicates([id, "_fp"]).drop("_fp")
+    kept = least.groupBy("root").agg(F.min("first_id").alias("_id"), F.min("fp").alias("_kept")).drop("root")
+    same = key.eqNullSafe(F.col("_id")) & (F.col("_fp") == F.col("_kept"))
+    one = prints.join(kept, same, "left_semi").withColumn("_id", key).dropDuplicates(["_id", "_fp"])
+    return unpacked(one, df.columns)

@@ -93,7 +93,10 @@ def cosine_links(vectors, threshold=0.95):
     """Links of each vector and a function of linked positions."""
     def unit(v):
         a = None if v is None or any(x is None for x in v) else np.array(v, float)
-        return None if a is None or not len(a) or not np.isfinite(a).all() or not a.any() else a / np.linalg.norm(a)
+        if a is None or not len(a) or not np.isfinite(a).all() or not a.any():
+            return None
+        a = a / np.abs(a).max()  # so that no square overflows or vanishes
+        return a / np.linalg.norm(a)
 
     units = [unit(v) for v in vectors]
 

@@ -44,6 +44,13 @@ def test_mixed_and_scripts(make):
     assert out[6].lang_pred == "de"  # no language uses the script: the first one
 
 
+def test_numerals_are_no_letters(make):
+    model = language.train(make([(1, "the cat and the dog", "en", "s"), (2, "der hund und die katze", "de", "s")]))
+    texts = ["½ ²", "Ⅷ", "① ②", "_ 12 ٣", "́ ̈", "ª"]
+    out = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(make([(k, t, None, None) for k, t in enumerate(texts)]), model).collect()}
+    assert [out[k] for k in range(5)] == [("und", 0.0)] * 5 and out[5][0] != "und"
+
+
 def test_nothing_learned(make):
     model = language.train(make([(1, None, None, None)]))
     assert [r.lang_pred for r in language.identify(make([(1, "some text", "en", "s")]), model).collect()] == ["und"]
