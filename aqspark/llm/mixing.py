@@ -231,9 +231,12 @@ def mixed_documents(df: DataFrame, id: str = "doc_id", text: str = "text", sourc
     per = found.pieces.groupBy("_id", "_size", "_source").agg(F.sort_array(F.collect_list(piece)).alias("_pieces"), F.sum("piece_length").alias("_taken"))
     kept = named.dropDuplicates(["_ref", "_from"])
     same = kept["_ref"].eqNullSafe(per["_id"]) & kept["_from"].eqNullSafe(per["_source"])
-    rows = kept.join(per, same).withColumn("_words", F.split(F.btrim("_text", F.lit(" \t\n\x0b\x0c\r")), WORD_BREAKS))
+    rows = kept.join(per, same)
+    # bound to one value, as an expression inside a lambda is worked out for each piece
+    words = F.array(F.split(F.btrim("_text", F.lit(" \t\n\x0b\x0c\r")), WORD_BREAKS))
     times = (F.col("_taken") / F.col("_size")).cast("int")
-    joined = F.array_join(F.flatten(F.transform("_pieces", lambda p: F.slice("_words", (p["start"] + 1).cast("int"), p["length"].cast("int")))), " ")
+    cut = lambda ws: F.flatten(F.transform("_pieces", lambda p: F.slice(ws, (p["start"] + 1).cast("int"), p["length"].cast("int"))))
+    joined = F.array_join(F.get(F.transform(words, cut), F.lit(0)), " ")
     starts = F.size(F.array_distinct(F.transform("_pieces", lambda p: p["start"])))
     complete = (F.col("_taken") == times * F.col("_size")) & (starts * times == F.size("_pieces"))
     new = F.when(complete, F.array_join(F.array_repeat("_text", times), "\n")).otherwise(joined)
