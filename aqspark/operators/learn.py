@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial, reduce
+
 import numpy as np
 import pandas as pd
+from pyspark import SparkContext, inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from aqspark.operators import features as ft
 from aqspark.operators.forecast import Y, by_city
-from aqspark.session import settle
+from aqspark.session import ensure_checkpoint_dir, settle
 
 LAGS = [1, 3, 6, 12, 24, 48]
 WINDOWS = [6, 12, 24, 48]
+ROWS_PER_TASK = 50_000  # training rows in a partition
+FITS_AT_ONCE = 4
 
 
 def tree_features(table: DataFrame, weather: list[str] | None = None, past_only: bool = False) -> tuple[DataFrame, list[str]]:
@@ -61,30 +69,105 @@ def fit_metrics(scored: DataFrame, keys: list[str] | None = None) -> DataFrame:
     )
 
 
+def sized_rows(rows: DataFrame) -> DataFrame:
+    """``rows`` in as many partitions as their number asks for.
+
+    A tree level is one job over all partitions, so a small table in many
+    partitions spends its time on starting tasks.
+    """
+    return rows.repartition(max(1, -(-rows.count() // ROWS_PER_TASK)))
+
+
 def expanding_folds(table: DataFrame, folds: int = 5) -> DataFrame:
     """Add ``block`` 1..folds+1 by time within each city; fold i trains on blocks up to i."""
     return table.withColumn("block", F.ntile(folds + 1).over(by_city()))
 
 
-def cross_validate(table: DataFrame, names: list[str], folds: int = 5, **params) -> DataFrame:
+def prefix_predictions(model, iterations: list[int]) -> dict[int, Callable[[DataFrame], DataFrame]]:
+    """What the first n trees of a boosted model predict, for each n.
+
+    Boosting adds trees one after the other, so with equal seed, depth, step and
+    subsample a fit of n trees is the beginning of a fit of more: one fit serves
+    all its prefixes.
+    """
+    assembler, trees = model.stages
+    whole = trees._java_obj
+    uid, count = whole.uid(), whole.getNumTrees()
+    out = {}
+    for n in iterations:
+        if n > count:
+            raise ValueError(f"the model has {count} trees")
+        gateway = SparkContext._active_spark_context._gateway
+        parts = gateway.new_array(gateway.jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n)
+        weights = gateway.new_array(gateway.jvm.double, n)
+        for k, (tree, weight) in enumerate(zip(whole.trees()[:n], whole.treeWeights()[:n])):
+            parts[k], weights[k] = tree, weight
+        first = GBTRegressionModel(gateway.jvm.org.apache.spark.ml.regression.GBTRegressionModel(uid, parts, weights))
+        first.setFeaturesCol("features").setPredictionCol("predicted")
+        out[n] = lambda rows, first=first: first.transform(assembler.transform(rows))
+    return out
+
+
+def stored_fit(spark: SparkSession, path: str, work: Callable[[], DataFrame]) -> DataFrame:
+    """Result rows of one fit, from ``path`` if an earlier run has left them there."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+        work().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def fit_all(spark: SparkSession, folder: str | None, fits: dict[str, Callable[[], DataFrame]], at_once: int = FITS_AT_ONCE) -> DataFrame:
+    """Rows of all fits, ``at_once`` of them side by side, each stored when it is done.
+
+    With a ``folder`` of its own a run that is started again repeats only the fits
+    that had not ended.
+    """
+    ensure_checkpoint_dir(spark)
+    folder = folder or f"{spark.sparkContext.getCheckpointDir()}/fits-{uuid.uuid4()}"
+    jobs = [inheritable_thread_target(spark)(partial(stored_fit, spark, f"{folder}/{name}", work)) for name, work in fits.items()]
+    with ThreadPoolExecutor(at_once) as pool:
+        done = [f.result() for f in [pool.submit(job) for job in jobs]]
+    return reduce(DataFrame.unionByName, done)
+
+
+def fold_scores(placed: DataFrame, names: list[str], fold: int, iterations: list[int], **params) -> DataFrame:
+    """Metrics of one fold's next block after each number of iterations, from one fit of the most."""
+    train = sized_rows(placed.where(F.col("block") <= fold))
+    model = tree_pipeline(names, iterations=max(iterations), **params).fit(train)
+    ahead = placed.where(F.col("block") == fold + 1)
+    rows = [
+        fit_metrics(predict(ahead)).select(F.lit(fold).alias("fold"), F.lit(n).alias("iterations"), "*")
+        for n, predict in prefix_predictions(model, iterations).items()
+    ]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def cross_validate(table: DataFrame, names: list[str], folds: int = 5, iterations: int = 500, folder: str | None = None, **params) -> DataFrame:
     """Expanding time-series validation: metrics of each fold's next block."""
     placed = settle(expanding_folds(table, folds))
-    out = None
-    for i in range(1, folds + 1):
-        model = tree_pipeline(names, **params).fit(placed.where(F.col("block") <= i))
-        scored = model.transform(placed.where(F.col("block") == i + 1))
-        row = fit_metrics(scored).select(F.lit(i).alias("fold"), "*")
-        out = row if out is None else out.unionByName(row)
-    return out
+    fits = {f"fold={i}": partial(fold_scores, placed, names, i, [iterations], **params) for i in range(1, folds + 1)}
+    return fit_all(table.sparkSession, folder, fits).drop("iterations")
+
 
+def grid_search(table: DataFrame, names: list[str], grid: list[dict], folds: int = 3, folder: str | None = None) -> DataFrame:
+    """Mean validation error per parameter set, best first.
 
-def grid_search(table: DataFrame, names: list[str], grid: list[dict], folds: int = 3) -> DataFrame:
-    """Mean validation error per parameter set, best first."""
-    out = None
-    for i, params in enumerate(grid):
-        row = cross_validate(table, names, folds, **params).agg(F.avg("mae").alias("mae"), F.avg("rmse").alias("rmse"), F.avg("r2").alias("r2"))
-        row = row.select(F.lit(i).alias("trial"), F.lit(str(params)).alias("parameters"), "*")
-        out = row if out is None else out.unionByName(row)
+    Sets that differ in their number of iterations alone share one fit a fold.
+    """
+    spark, placed = table.sparkSession, settle(expanding_folds(table, folds))
+    rest = lambda params: tuple(sorted((k, v) for k, v in params.items() if k != "iterations"))
+    kinds = {}
+    for trial, params in enumerate(grid):
+        kinds.setdefault(rest(params), {}).setdefault(params.get("iterations", 500), []).append(trial)
+    fits = {
+        f"kind={k}/fold={i}": (lambda k=k, i=i, kind=kind, wanted=wanted: fold_scores(placed, names, i, sorted(wanted), **dict(kind)).withColumn("kind", F.lit(k)))
+        for k, (kind, wanted) in enumerate(kinds.items()) for i in range(1, folds + 1)
+    }
+    scores = fit_all(spark, folder, fits).groupBy("kind", "iterations").agg(*(F.avg(c).alias(c) for c in ("mae", "rmse", "r2")))
+    trials = spark.createDataFrame(
+        [(t, str(grid[t]), k, n) for k, wanted in enumerate(kinds.values()) for n, ts in wanted.items() for t in ts], "trial int, parameters string, kind int, iterations int"
+    )
+    out = trials.join(scores, ["kind", "iterations"]).select("trial", "parameters", "mae", "rmse", "r2")
     return out.withColumn("place", F.rank().over(Window.orderBy("mae")))
 
 
@@ -107,7 +190,7 @@ def horizon_rows(table: DataFrame, horizons: list[int]) -> DataFrame:
 def multi_horizon_forecast(table: DataFrame, names: list[str], horizons: list[int], **params) -> DataFrame:
     """Direct forecasts for every horizon from each city's last row; the horizon is a feature."""
     rows = settle(horizon_rows(table, horizons))
-    model = tree_pipeline([*names, "horizon", "_y0"], **params).fit(rows.where(F.col(Y).isNotNull()))
+    model = tree_pipeline([*names, "horizon", "_y0"], **params).fit(sized_rows(rows.where(F.col(Y).isNotNull())))
     newest = table.groupBy("city").agg(F.max("ts").alias("ts"))
     origin = rows.join(newest, ["city", "ts"])
     return model.transform(origin).select(
