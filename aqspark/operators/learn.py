@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from functools import partial, reduce
 
@@ -12,12 +12,14 @@ import pandas as pd
 from pyspark import SparkContext, inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from aqspark.operators import features as ft
-from aqspark.operators.forecast import Y, by_city
+from aqspark.operators.forecast import Y, by_city, chronological_split
+from aqspark.operators.series import null_safe_join
 from aqspark.session import ensure_checkpoint_dir, settle
 
 LAGS = [1, 3, 6, 12, 24, 48]
@@ -198,13 +200,64 @@ def multi_horizon_forecast(table: DataFrame, names: list[str], horizons: list[in
     )
 
 
+# --- sums of products ---
+
+GROUPS_AT_ONCE = 500  # groups whose sums a task holds before it hands them on
+
+
+def product_sums(rows: DataFrame, keys: list[str], design: Callable[[pd.DataFrame], np.ndarray]) -> DataFrame:
+    """Per key the sums of all products of the columns that ``design`` makes of a batch of rows.
+
+    One row per key and entry (i, j), i <= j, of the symmetric matrix. A task
+    adds up its batches and hands on one matrix per group, so what is shuffled
+    follows tasks and groups, not rows. Sums of parts add up to sums of wholes.
+    """
+    fields = [rows.schema[k] for k in keys]
+    schema = StructType([*fields, StructField("i", IntegerType()), StructField("j", IntegerType()), StructField("s", DoubleType())])
+
+    def emit(held: dict) -> pd.DataFrame:
+        first = next(iter(held.values()))
+        i, j = np.triu_indices(len(first))
+        out = {k: np.repeat(np.array([key[n] for key in held], dtype=object), len(i)) for n, k in enumerate(keys)}
+        out.update(i=np.tile(i, len(held)), j=np.tile(j, len(held)), s=np.concatenate([m[i, j] for m in held.values()]))
+        return pd.DataFrame(out)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = {}
+        for batch in batches:
+            for key, part in batch.groupby(keys, dropna=False, sort=False):
+                x = design(part)
+                key = tuple(None if pd.isna(k) else k for k in key)
+                held[key] = held[key] + x.T @ x if key in held else x.T @ x
+                if len(held) >= GROUPS_AT_ONCE:
+                    yield emit(held)
+                    held = {}
+        if held:
+            yield emit(held)
+
+    return rows.mapInPandas(run, schema).groupBy(*keys, "i", "j").agg(F.sum("s").alias("s"))
+
+
+def square(entries: list, size: int) -> np.ndarray:
+    """The symmetric matrix of (i, j, s) entries."""
+    out = np.zeros((size, size))
+    for i, j, s in entries:
+        out[i, j] = out[j, i] = s
+    return out
+
+
 # --- trend and seasonality ---
 
+CHANGEPOINTS = 25
+CHANGE_SPAN = 0.8  # share of the history that may hold changes of trend
+BOUND = 1.2815515655446004  # fixed value: normal quantile of a two-sided share of 0.8
+
 
-def seasonal_matrix(ts: pd.Series, origin: pd.Timestamp, yearly: int = 10, weekly: int = 3, daily: int = 10) -> np.ndarray:
-    """Intercept, trend in years, and Fourier terms of the three periods."""
-    days = (ts - origin).dt.total_seconds().to_numpy() / 86400.0
+def seasonal_columns(days: np.ndarray, span: np.ndarray, yearly: int = 10, weekly: int = 3, daily: int = 10, changes: int = CHANGEPOINTS) -> np.ndarray:
+    """Intercept, trend, hinges at even distances over the first part of ``span``, Fourier terms of the three periods."""
     cols = [np.ones_like(days), days / 365.25]
+    for k in range(1, changes + 1):
+        cols.append(np.maximum(days - span * (CHANGE_SPAN * k / changes), 0.0) / 365.25)
     for period, order in ((365.25, yearly), (7.0, weekly), (1.0, daily)):
         for k in range(1, order + 1):
             angle = 2 * np.pi * k * days / period
@@ -212,38 +265,113 @@ def seasonal_matrix(ts: pd.Series, origin: pd.Timestamp, yearly: int = 10, weekl
     return np.column_stack(cols)
 
 
+def with_days(grid: DataFrame, cut: Column | None = None) -> DataFrame:
+    """Add days since a city's first known value, and the days from there to the last one up to ``cut``."""
+    known = F.col(Y).isNotNull()
+    past = known if cut is None else known & cut
+    day = F.lit(86_400_000_000.0)
+    ends = grid.groupBy("city").agg(F.min(F.when(past, F.col("ts"))).alias("_first"), F.max(F.when(past, F.col("ts"))).alias("_last"))
+    out = null_safe_join(grid, ends, ["city"]).where(F.col("_first").isNotNull())
+    return out.withColumns({
+        "_days": (F.unix_micros("ts") - F.unix_micros("_first")) / day, "_span": (F.unix_micros("_last") - F.unix_micros("_first")) / day,
+    })
+
+
+def _seasonal_design(orders: dict, extra: list[str]) -> Callable[[pd.DataFrame], np.ndarray]:
+    def design(part: pd.DataFrame) -> np.ndarray:
+        x = seasonal_columns(part["_days"].to_numpy(), part["_span"].to_numpy(), **orders)
+        return np.column_stack([x, part[extra].fillna(0.0).to_numpy(dtype=float)]) if extra else x
+
+    return design
+
+
+def seasonal_sums(rows: DataFrame, orders: dict | None = None, regressors: list[str] | None = None) -> DataFrame:
+    """Per city the sums of products of the model's columns and, as the last one, the value."""
+    extra = regressors or []
+    columns = _seasonal_design(orders or {}, extra)
+    known = rows.where(F.col(Y).isNotNull()).select("city", "_days", "_span", F.col(Y).cast("double").alias(Y), *extra)
+    return product_sums(known, ["city"], lambda part: np.column_stack([columns(part), part[Y].to_numpy()]))
+
+
+def seasonal_fit(sums: DataFrame, penalty: float, hinge_penalty: float, changes: int) -> DataFrame:
+    """Per city the coefficients and the deviation of the residuals, solved from the sums alone."""
+    packed = sums.groupBy("city").agg(F.collect_list(F.struct("i", "j", "s")).alias("entries"), F.max("i").alias("last"))
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            betas, sigmas = [], []
+            for entries, last in zip(batch["entries"], batch["last"]):
+                whole = square([(e["i"], e["j"], e["s"]) for e in entries], last + 1)
+                xx, xy, yy, n = whole[:last, :last], whole[:last, last], whole[last, last], whole[0, 0]
+                ridge = np.full(last, penalty)
+                ridge[:2], ridge[2 : 2 + changes] = 1e-9, hinge_penalty
+                beta = np.linalg.solve(xx + np.diag(ridge), xy)
+                rest = max(yy - 2 * beta @ xy + beta @ xx @ beta, 0.0)
+                betas.append(beta.tolist())
+                sigmas.append(float(np.sqrt(rest / n)))
+            yield pd.DataFrame({"city": batch["city"], "beta": betas, "sigma": sigmas})
+
+    return packed.mapInPandas(solve, "city string, beta array<double>, sigma double")
+
+
+def _seasonal_values(rows: DataFrame, fits: DataFrame, orders: dict, extra: list[str]) -> DataFrame:
+    columns = _seasonal_design(orders, extra)
+    joined = null_safe_join(rows, fits, ["city"], how="inner")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            mid = np.einsum("ij,ij->i", columns(part), np.array(part["beta"].tolist(), dtype=float).reshape(len(part), -1)) if len(part) else []
+            out = part[["city", "ts", Y, "is_forecast"]].copy()
+            out["predicted"] = np.maximum(mid, 0.0)
+            out["lower"] = np.maximum(mid - BOUND * part["sigma"].to_numpy(), 0.0)
+            out["upper"] = np.maximum(mid + BOUND * part["sigma"].to_numpy(), 0.0)
+            yield out
+
+    schema = f"city string, ts timestamp, {Y} double, is_forecast boolean, predicted double, lower double, upper double"
+    return joined.mapInPandas(run, schema)
+
+
+def _hours_ahead(rows: DataFrame, horizon: int, extra: list[str]) -> DataFrame:
+    """The hours after each city's last value; ahead of the data a regressor keeps its last known value."""
+    kept = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("ts"))).alias(c) for c in extra]
+    ends = rows.groupBy("city").agg(F.first("_last").alias("_last"), F.first("_span").alias("_span"), *kept)
+    steps = ends.withColumn("_h", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
+    return steps.select(
+        "city", (F.col("_last") + F.make_dt_interval(hours=F.col("_h"))).alias("ts"), F.lit(None).cast("double").alias(Y), *extra,
+        (F.col("_span") + F.col("_h") / 24.0).alias("_days"), "_span", F.lit(True).alias("is_forecast"),
+    )
+
+
 def seasonal_forecast(
     grid: DataFrame, horizon: int = 72, yearly: int = 10, weekly: int = 3, daily: int = 10, penalty: float = 10.0,
-    regressors: list[str] | None = None,
+    regressors: list[str] | None = None, changes: int = CHANGEPOINTS, hinge_penalty: float = 20.0,
 ) -> DataFrame:
-    """Ridge fit of trend, seasonality and regressors per city, with the fit and the hours ahead.
+    """Ridge fit of trend with hinges, seasonality and regressors per city: the fit, the hours ahead, and bounds of 80 %.
 
-    A group is one city's hourly series, bounded by the calendar. Ahead of the
-    data a regressor keeps its last value.
+    The rows are reduced to sums of products in one aggregation; what is solved
+    per city is one small system, whatever the length of its series. The bounds
+    are the residuals' deviation, from the same sums.
     """
-    extra = regressors or []
+    extra, orders = regressors or [], dict(yearly=yearly, weekly=weekly, daily=daily, changes=changes)
+    rows = settle(with_days(grid.select("city", "ts", F.col(Y).cast("double").alias(Y), *extra)))
+    fits = seasonal_fit(seasonal_sums(rows, orders, extra), penalty, hinge_penalty, changes)
+    known = rows.where(F.col(Y).isNotNull()).select("city", "ts", Y, *extra, "_days", "_span", F.lit(False).alias("is_forecast"))
+    return _seasonal_values(known.unionByName(_hours_ahead(rows, horizon, extra)), fits, orders, extra)
+
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("ts").dropna(subset=[Y])
-        last = part.ts.iloc[-1]
-        ahead = pd.DataFrame({"ts": [last + pd.Timedelta(hours=h) for h in range(1, horizon + 1)]})
-        for c in extra:
-            ahead[c] = part[c].ffill().iloc[-1]
-        everything = pd.concat([part[["ts", *extra]], ahead], ignore_index=True)
-        x = seasonal_matrix(everything.ts, part.ts.iloc[0], yearly, weekly, daily)
-        if extra:
-            x = np.column_stack([x, everything[extra].fillna(0.0).to_numpy()])
-        n = len(part)
-        ridge = penalty * np.eye(x.shape[1])
-        ridge[0, 0] = ridge[1, 1] = 0.0
-        beta = np.linalg.solve(x[:n].T @ x[:n] + ridge + 1e-9 * np.eye(len(ridge)), x[:n].T @ part[Y].to_numpy())
-        return pd.DataFrame({
-            "city": part.city.iloc[0], "ts": everything.ts, Y: [*part[Y], *[None] * horizon],
-            "predicted": np.maximum(x @ beta, 0.0), "is_forecast": [False] * n + [True] * horizon,
-        })
-
-    cols = grid.select("city", "ts", Y, *extra)
-    return cols.groupBy("city").applyInPandas(run, f"city string, ts timestamp, {Y} double, predicted double, is_forecast boolean")
+def seasonal_held_out(
+    grid: DataFrame, test_share: float = 0.2, yearly: int = 10, weekly: int = 3, daily: int = 10, penalty: float = 10.0,
+    regressors: list[str] | None = None, changes: int = CHANGEPOINTS, hinge_penalty: float = 20.0,
+) -> DataFrame:
+    """Error per city on the later rows of a fit of the earlier ones, and the share of values within the bounds."""
+    extra, orders = regressors or [], dict(yearly=yearly, weekly=weekly, daily=daily, changes=changes)
+    split = settle(chronological_split(grid.select("city", "ts", F.col(Y).cast("double").alias(Y), *extra).where(F.col(Y).isNotNull()), test_share))
+    rows = settle(with_days(split, F.col("part") == "train"))
+    fits = seasonal_fit(seasonal_sums(rows.where("part = 'train'"), orders, extra), penalty, hinge_penalty, changes)
+    later = rows.where("part = 'test'").withColumn("is_forecast", F.lit(True))
+    scored = _seasonal_values(later, fits, orders, extra)
+    inside = scored.groupBy("city").agg(F.avg(F.col(Y).between(F.col("lower"), F.col("upper")).cast("double")).alias("coverage"))
+    return null_safe_join(fit_metrics(scored, ["city"]), inside, ["city"])
 
 
 # --- stacking ---
@@ -251,22 +379,52 @@ def seasonal_forecast(
 PENALTIES = [float(x) for x in np.logspace(-3, 3, 10)]
 
 
+def ridge(sums: np.ndarray, penalty: float) -> np.ndarray:
+    """Intercept and weights from sums of products over (1, columns, value); each column is shrunk by its own variance."""
+    n, size = sums[0, 0], len(sums) - 1
+    means = sums[0, 1:] / n
+    spread = sums[1:, 1:] / n - np.outer(means, means)
+    xx, xy = spread[: size - 1, : size - 1], spread[: size - 1, size - 1]
+    scales = np.maximum(np.diag(xx), 1e-12)
+    weights = np.linalg.solve(xx + penalty * np.diag(scales), xy)
+    return np.concatenate([[means[-1] - weights @ means[:-1]], weights])
+
+
+def mean_square(sums: np.ndarray, beta: np.ndarray) -> float:
+    """Mean squared error of ``beta`` on the rows behind the sums."""
+    xx, xy, yy = sums[:-1, :-1], sums[:-1, -1], sums[-1, -1]
+    return float(max(yy - 2 * beta @ xy + beta @ xx @ beta, 0.0) / sums[0, 0])
+
+
 def stacked(predictions: DataFrame, models: list[str], train_share: float = 0.8, penalties: list[float] | None = None) -> DataFrame:
-    """Ridge over the models' predictions, penalty chosen on the later part of the training hours."""
+    """Ridge over the models' predictions, penalty chosen on the later part of the training hours.
+
+    The sums of products of both parts come from one pass; every penalty is fitted
+    and scored from them, and only two small matrices are solved, in a task.
+    """
+    tried = penalties or PENALTIES
     wide = predictions.groupBy("city", "ts").pivot("model_name", models).agg(F.first("predicted"))
     truth = predictions.groupBy("city", "ts").agg(F.first(Y).alias(Y))
     rows = wide.join(truth, ["city", "ts"]).na.drop()
     n = F.count(F.lit(1)).over(Window.partitionBy("city"))
     share = F.row_number().over(by_city()) / n
-    placed = VectorAssembler(inputCols=models, outputCol="features").transform(rows.withColumn("_share", share))
-    placed = settle(placed)
-    fit_rows = placed.where(F.col("_share") <= train_share * 0.8)
-    pick_rows = placed.where((F.col("_share") > train_share * 0.8) & (F.col("_share") <= train_share))
-    best, best_error = None, float("inf")
-    for penalty in penalties or PENALTIES:
-        lr = LinearRegression(featuresCol="features", labelCol=Y, predictionCol="predicted", elasticNetParam=0.0, regParam=penalty)
-        model = lr.fit(fit_rows)
-        error = fit_metrics(model.transform(pick_rows)).first()["mae"]
-        if best is None or (error is not None and error < best_error):
-            best, best_error = model, error if error is not None else best_error
-    return best.transform(placed.where(F.col("_share") > train_share)).select("city", "ts", Y, "predicted")
+    part = F.when(share <= train_share * 0.8, "fit").when(share <= train_share, "pick").otherwise("later")
+    placed = settle(rows.withColumn("part", part))
+    train = placed.where("part <> 'later'").select("part", *models, Y)
+    sums = product_sums(train, ["part"], lambda p: np.column_stack([np.ones(len(p)), p[[*models, Y]].to_numpy(dtype=float)]))
+    entries = sums.agg(F.collect_list(F.struct("part", "i", "j", "s")).alias("entries"))
+    size = len(models) + 2
+
+    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for got in batch["entries"]:
+                fit, pick = (square([(e["i"], e["j"], e["s"]) for e in got if e["part"] == p], size) for p in ("fit", "pick"))
+                if fit[0, 0]:
+                    betas = [ridge(fit, penalty) for penalty in tried]
+                    best = min(betas, key=lambda b: mean_square(pick, b)) if pick[0, 0] else betas[0]
+                    yield pd.DataFrame({"beta": [best.tolist()]})
+
+    beta = entries.mapInPandas(choose, "beta array<double>").agg(F.first("beta").alias("beta")).scalar()
+    later = placed.where("part = 'later'").withColumn("_beta", beta)
+    terms = [F.element_at("_beta", k + 2) * F.col(m) for k, m in enumerate(models)]
+    return later.select("city", "ts", Y, reduce(lambda a, b: a + b, terms, F.element_at("_beta", 1)).alias("predicted"))

@@ -113,12 +113,22 @@ def priority(t):
     return t.spark.read.parquet(f"{path}/out").select(*cols)
 
 
-@query("t05_alert_cooldown")
+@query("t05_alert_cooldown", """
+ru AS (SELECT DISTINCT location, condition, frequency, lower(split_part(condition, '>', 1)) AS p, CAST(split_part(condition, '>', 2) AS DOUBLE) AS threshold,
+  CASE frequency WHEN 'realtime' THEN 900 WHEN 'hourly' THEN 3600 ELSE 86400 END * CAST(1000000 AS BIGINT) AS wait FROM subscriptions WHERE active),
+ex AS (SELECT ru.location, condition, frequency, threshold, wait, epoch_us(timestamp_utc) AS us, min(value) AS current_value
+  FROM ru JOIN readings r ON r.city = ru.location AND r.parameter = ru.p AND r.value > ru.threshold GROUP BY ALL),
+po AS (SELECT *, min(us) OVER (PARTITION BY location, condition, frequency ORDER BY us RANGE BETWEEN wait FOLLOWING AND UNBOUNDED FOLLOWING) AS follows FROM ex),
+fired AS (SELECT location, condition, frequency, min(us) AS us FROM ex GROUP BY 1, 2, 3
+  UNION ALL SELECT location, condition, frequency, po.follows FROM fired JOIN po USING (location, condition, frequency, us) WHERE po.follows IS NOT NULL)
+SELECT location, condition, frequency, make_timestamp(us) AS triggered_at, round(current_value, 6) AS current_value, threshold, subscription_id, user_id, channel
+FROM fired JOIN ex USING (location, condition, frequency, us) JOIN (SELECT * FROM subscriptions WHERE active) s USING (location, condition, frequency)
+WHERE s.created_at <= make_timestamp(us) AND user_id IN (SELECT user_id FROM users WHERE NOT is_suspended)""")
 def alerts(t):
     t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     rules = cooldown.alert_rules(t.subscriptions)
     fired = finish(t, cooldown.triggers(cooldown.exceeding(stream(t).readings, rules)))
-    return cooldown.to_subscribers(fired, t.subscriptions, t.users)
+    return rounded(cooldown.to_subscribers(fired, t.subscriptions, t.users))
 
 
 SESSIONS = """o AS (SELECT city, timestamp_utc, epoch_us(timestamp_utc) - epoch_us(lag(timestamp_utc) OVER w) < 10800000000 AS joined FROM {src} WINDOW w AS (PARTITION BY city ORDER BY timestamp_utc, reading_id)),
@@ -158,11 +168,18 @@ def feed_health(t):
     return jobs.feed_health(t.readings, t.weather, error_log(t), as_of())
 
 
-@query("t08_late_actuals_stream")
+@query("t08_late_actuals_stream", """
+v AS (SELECT city, timestamp_utc, value, reading_id FROM readings WHERE quality_flag = 'valid'),
+a AS (SELECT city, timestamp_utc, arg_max(value, reading_id) AS actual_value FROM v GROUP BY 1, 2)
+SELECT f.forecast_id, f.city, f.timestamp_utc AS target_ts, round(f.predicted_aqi, 6) AS predicted_aqi, round(a.actual_value, 6) AS actual_value
+FROM forecasts f LEFT JOIN a USING (city, timestamp_utc)
+WHERE f.timestamp_utc < (SELECT least((SELECT max(timestamp_utc) FROM forecasts), (SELECT max(timestamp_utc) FROM v)) - INTERVAL 2 HOUR)""")
 def late_actuals(t):
-    f = stream(t).forecasts.select("forecast_id", "city", F.col("timestamp_utc").alias("target_ts"), "predicted_aqi")
-    a = stream(t).readings.where(F.col("quality_flag") == "valid").select("city", "timestamp_utc", "value")
-    return finish(t, jobs.attach_actuals_stream(f, a))
+    s = stream(t)
+    f = s.forecasts.select("forecast_id", "city", F.col("timestamp_utc").alias("target_ts"), "predicted_aqi")
+    a = s.readings.where(F.col("quality_flag") == "valid").select("city", "timestamp_utc", "value", "reading_id")
+    # every landing comes a second time, as sources that are polled again send it
+    return rounded(finish(t, jobs.attach_actuals_stream(f, a.unionByName(a), "reading_id")))
 
 
 @query("t09_checks_per_batch", """

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from aqspark import dims
 from aqspark.operators import rollup
 from aqspark.operators.clean import nan_to_null
+from aqspark.session import settle
 
 
 def append_table(df: DataFrame, table: str, partition_by: list[str] | None = None) -> None:
@@ -31,10 +33,15 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite", partition_by: l
 
 
 def write_rollups(readings: DataFrame, path: str) -> dict[str, Callable[[], DataFrame]]:
-    """All six rollup outputs. Summaries are made from the daily table once it is written."""
+    """All six rollup outputs. Summaries are made from the daily table once it is written.
+
+    The readings are read once: what the rollups use of them is stored first.
+    """
     spark = readings.sparkSession
+    used = ["city", "parameter", "value", "timestamp_utc", *(c for c in dims.WEATHER_COLUMNS if c in readings.columns)]
+    rows = settle(readings.select(*used))
     for period in ("hour", "day", "week", "month"):
-        rollup.rollup(readings, period).write.mode("overwrite").parquet(f"{path}/{period}")
+        rollup.rollup(rows, period).write.mode("overwrite").parquet(f"{path}/{period}")
     daily = spark.read.parquet(f"{path}/day")
     rollup.city_daily_summary(daily).write.mode("overwrite").parquet(f"{path}/city_daily")
     rollup.exceedance_days(daily).write.mode("overwrite").parquet(f"{path}/exceedance")

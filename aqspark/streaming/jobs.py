@@ -77,12 +77,20 @@ def sliding_unhealthy_hours(df: DataFrame, length: str = "24 hours", slide: str
 
 
 def sliding_stream(df: DataFrame, length: str = "24 hours", slide: str = "1 hour", watermark: str = WATERMARK) -> DataFrame:
+    """Counts over 200/300/400 in each sliding window, closed by the watermark.
+
+    Two aggregations in one stream: rows are counted per slide-wide window, and
+    only those counts, once closed, go into the overlapping windows. State holds
+    counts per slide, whatever the number of rows.
+    """
     v = F.col("value")
-    return df.withWatermark("timestamp_utc", watermark).groupBy(
-        F.window("timestamp_utc", length, slide).alias("w"), "city", "parameter"
-    ).agg(
-        F.count_if(v > 200).alias("unhealthy_hours"), F.count_if(v > 300).alias("very_poor_hours"), F.count_if(v > 400).alias("severe_hours"),
-        F.count(F.lit(1)).alias("total_hours"),
+    n = {"unhealthy_hours": v > 200, "very_poor_hours": v > 300, "severe_hours": v > 400, "total_hours": F.lit(True)}
+    counts = df.withWatermark("timestamp_utc", watermark).groupBy(F.window("timestamp_utc", slide).alias("b"), "city", "parameter").agg(
+        *(F.count_if(cond).alias(c) for c, cond in n.items())
+    )
+    at = F.window_time("b").alias("_at")
+    return counts.select("city", "parameter", at, *n).groupBy(F.window("_at", length, slide).alias("w"), "city", "parameter").agg(
+        *(F.sum(c).alias(c) for c in n)
     )
 
 
@@ -174,9 +182,15 @@ def feed_health(readings: DataFrame, weather: DataFrame, errors: DataFrame, as_o
     )
 
 
-def attach_actuals_stream(forecasts: DataFrame, actuals: DataFrame, within: str = "2 hours") -> DataFrame:
-    """Forecasts with the actual that arrives for their city and time, or null once none can come."""
+def attach_actuals_stream(forecasts: DataFrame, actuals: DataFrame, version: str, within: str = "2 hours") -> DataFrame:
+    """Forecasts with the newest actual of their city and time, or null once none can come.
+
+    Actuals are reduced to the one of the highest ``version`` per city and time
+    before they are joined, so one that comes again, in the same or in a later
+    batch, corrects the value and never repeats the forecast.
+    """
+    newest = actuals.withWatermark("timestamp_utc", within).groupBy("city", "timestamp_utc").agg(F.max_by("value", version).alias("value"))
     f = forecasts.withWatermark("target_ts", within).alias("f")
-    a = actuals.withWatermark("timestamp_utc", within).alias("a")
+    a = newest.alias("a")
     cond = (F.col("f.city") == F.col("a.city")) & (F.col("f.target_ts") == F.col("a.timestamp_utc"))
     return f.join(a, cond, "left_outer").select("f.*", F.col("a.value").alias("actual_value"))
