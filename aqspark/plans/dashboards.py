@@ -283,12 +283,12 @@ def top_vulnerable(t):
     return rows.orderBy(F.col("vulnerability_index").desc(), "city").limit(10)
 
 
-ERROR_LOG = "el AS (SELECT event_id, ts AS timestamp, 'task-' || user_id AS task, 'value ' || k AS message FROM ev WHERE event_type = 'error')"
+ERROR_LOG = "el AS (SELECT event_id, ts AS timestamp, upper(event_type) AS level, 'task-' || user_id AS task, 'value ' || k AS message FROM ev WHERE event_type = 'error')"
 
 
 def error_log(t):
     return t._events.where(F.col("event_type") == "error").select(
-        "event_id", F.col("ts").alias("timestamp"), F.concat(F.lit("task-"), "user_id").alias("task"),
+        "event_id", F.col("ts").alias("timestamp"), F.upper("event_type").alias("level"), F.concat(F.lit("task-"), "user_id").alias("task"),
         F.concat(F.lit("value "), "k").alias("message"),
     )
 

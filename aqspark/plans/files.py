@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from aqspark import dims
 from aqspark.operators import quality
 from aqspark.plans.marts import STATS, rounded
+from aqspark.plans.quality import CHECKS
 from aqspark.plans.registry import query
 from aqspark.plans.tables import AS_OF, as_of, sql_piecewise
 from aqspark.session import ensure_checkpoint_dir
@@ -200,11 +201,11 @@ def documents(t):
 
 @query("k01_append_table", "SELECT reading_id, city, parameter, value FROM readings UNION ALL SELECT reading_id, city, parameter, value FROM readings WHERE parameter = 'aqi'")
 def append(t):
-    path = work_path(t)
+    name = f"readings_{uuid.uuid4().hex}"
     rows = t.readings.select("reading_id", "city", "parameter", "value")
-    rows.write.mode("append").parquet(path)
-    rows.where(F.col("parameter") == "aqi").write.mode("append").parquet(path)
-    return t.spark.read.parquet(path)
+    tables.append_table(rows, name, ["parameter"])
+    tables.append_table(rows.where(F.col("parameter") == "aqi"), name, ["parameter"])
+    return t.spark.table(name).select(*rows.columns)
 
 
 @query("k03_rollup_exports", "SELECT city, parameter, CAST(date_trunc('month', timestamp_utc) AS DATE) AS month_start, " + STATS + " FROM readings GROUP BY 1, 2, 3")
@@ -219,11 +220,13 @@ def features(t):
     return tables.load_features(t.spark, folder, "hours")
 
 
-@query("k05_check_results")
+# the texts of the details have no twin
+@query("k05_check_results", CHECKS + f"""
+SELECT 'readings' AS dataset_name, name AS check_name, passed, severity, TIMESTAMP '{AS_OF}' AS timestamp FROM checks""")
 def checks(t):
     path = work_path(t)
     tables.append_checks(quality.run_all_checks(t.readings, as_of()), path, "readings", as_of())
-    return t.spark.read.parquet(path)
+    return t.spark.read.parquet(path).drop("details")
 
 
 @query("k06_write_rules", """

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from aqspark import dims
 from aqspark.operators import features as ft
 from aqspark.operators import forecast as fc
-from aqspark.plans.features import GRID, TRAINING, aqi_readings, training
-from aqspark.plans.files import long_readings
+from aqspark.plans.features import GRID, TRAINING, _grid_sql, aqi_readings, training
+from aqspark.plans.files import LONG, long_readings
 from aqspark.plans.marts import rounded
 from aqspark.plans.registry import query
-from aqspark.plans.tables import AS_OF, as_of, sql_band_case
+from aqspark.plans.tables import AS_OF, FACTOR, as_of, sql_band_case, sql_cut_case
 from aqspark.session import settle
 
 COLS = ["aqi", "temperature_2m", "wind_speed_10m"]
@@ -239,8 +239,45 @@ LAGS_SWEPT = (1, 24, 168)
 WINDOWS_SWEPT = (6, 12, 24, 48, 168)
 
 
+LONG_GRID = LONG + ",\n" + _grid_sql("lgrid", "lr", "", {"aqi": f"value * CAST({FACTOR!r} AS DOUBLE)"})
+
+
+def _swept_sql(kind: str) -> str:
+    """One-step error of each window over the long grid."""
+    def mean(n: int) -> str:
+        if kind == "sma":
+            return f"avg(aqi) OVER (PARTITION BY city ORDER BY ts ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
+        return " + ".join(f"lag(aqi, {n - i}) OVER s * CAST({w!r} AS DOUBLE)" for i, w in enumerate(fc.wma_weights(n)))
+
+    parts = " UNION ALL ".join(
+        f"SELECT city, '{kind}_{n}' AS model_name, aqi, CASE WHEN lag(aqi, {n}) OVER s IS NOT NULL THEN {mean(n)} END AS p FROM lgrid WINDOW s AS (PARTITION BY city ORDER BY ts)"
+        for n in WINDOWS_SWEPT
+    )
+    return LONG_GRID + f""",
+sw AS ({parts})
+SELECT city, model_name, round(avg(abs(aqi - p)), 6) AS mae, round(sqrt(avg((aqi - p) * (aqi - p))), 6) AS rmse,
+  round(avg(abs((aqi - p) / (aqi + 1e-8))) * 100, 6) AS mape, count(*) AS n_samples FROM sw WHERE p IS NOT NULL GROUP BY 1, 2"""
+
+
+_ALL = [
+    *((f"persistence_{k}", f"v[-{k}]") for k in LAGS_SWEPT),
+    *((f"sma_{n}", f"list_avg(v[-{n}:])") for n in WINDOWS_SWEPT),
+    *((f"wma_{n}", f"list_dot_product(v[-{n}:], [{', '.join(f'CAST({w!r} AS DOUBLE)' for w in fc.wma_weights(n))}])") for n in WINDOWS_SWEPT),
+]
+LONG_BACKTEST = LONG_GRID + f""",
+lb AS (SELECT *, row_number() OVER (PARTITION BY city ORDER BY ts) - 1 AS pos, count(*) OVER (PARTITION BY city) AS n FROM lgrid),
+lo AS (SELECT city, CAST(f AS INTEGER) AS fold, 720 + 168 * f AS start FROM (SELECT city, max(n) AS n FROM lb GROUP BY 1), generate_series(0, 5000) g(f) WHERE 720 + 168 * f + 72 <= n),
+lv AS (SELECT lo.city, fold, start, list(aqi ORDER BY pos) AS v FROM lo JOIN lb ON lb.city = lo.city AND pos >= start - 168 AND pos < start GROUP BY ALL),
+lf AS (SELECT city, fold, start, unnest([{", ".join(f"'{m}'" for m, _ in _ALL)}]) AS model_name, unnest([{", ".join(e for _, e in _ALL)}]) AS p FROM lv),
+fm AS (SELECT lf.city, model_name, fold, count(*) AS test_size, avg(abs(aqi - p)) AS mae, sqrt(avg((aqi - p) * (aqi - p))) AS rmse,
+  1 - sum((aqi - p) * (aqi - p)) / nullif(var_pop(aqi) * count(*), 0) AS r2, avg(abs((aqi - p) / (aqi + 1e-8))) * 100 AS mape, CAST(max(start) AS INTEGER) AS train_size
+  FROM lf JOIN lb ON lb.city = lf.city AND pos >= start AND pos < start + 72 GROUP BY 1, 2, 3)"""
+FOLD_SQL = " SELECT city, model_name, fold, test_size, {train} AS train_size, round(mae, 3) AS mae, round(rmse, 3) AS rmse, round(r2, 3) AS r2, round(mape, 3) AS mape FROM fm"
+
+
 def long_grid(t):
-    return settle(ft.hourly_grid(long_readings(t)))
+    # prices have two decimals; scaled, their means meet no tie when rounded
+    return settle(ft.hourly_grid(long_readings(t).withColumn("value", F.col("value") * FACTOR)))
 
 
 def swept_metrics(t, kind: str):
@@ -253,12 +290,12 @@ def swept_metrics(t, kind: str):
     return rounded(out)
 
 
-@query("m09_moving_average_long")
+@query("m09_moving_average_long", _swept_sql("sma"))
 def sma_long(t):
     return swept_metrics(t, "sma")
 
 
-@query("m10_weighted_average_long")
+@query("m10_weighted_average_long", _swept_sql("wma"))
 def wma_long(t):
     return swept_metrics(t, "wma")
 
@@ -272,24 +309,36 @@ def long_folds(t):
     return out
 
 
-@query("m14_backtest_folds_long")
+def fold_columns(df):
+    """Scores rounded as in the twin: to three digits, so that none of the many meets a tie on which two engines differ."""
+    return df.select("city", "model_name", "fold", "test_size", "train_size", *[F.round(c, 3).alias(c) for c in ("mae", "rmse", "r2", "mape")])
+
+
+@query("m14_backtest_folds_long", LONG_BACKTEST + FOLD_SQL.format(train="train_size"))
 def backtest_folds_long(t):
-    return rounded(long_folds(t))
+    return fold_columns(long_folds(t))
 
 
-@query("m14_backtest_summary_long")
+@query("m14_backtest_summary_long", LONG_BACKTEST + """
+SELECT city, model_name, round(avg(mae), 6) AS mae_mean, round(stddev_pop(mae), 6) AS mae_std, round(avg(rmse), 6) AS rmse_mean, round(stddev_pop(rmse), 6) AS rmse_std,
+  round(avg(r2), 4) AS r2_mean, round(stddev_pop(r2), 4) AS r2_std, count(*) AS n_folds FROM fm GROUP BY 1, 2""")
 def backtest_summary_long(t):
-    return rounded(fc.backtest_summary(long_folds(t)))
+    out = fc.backtest_summary(long_folds(t))
+    return rounded(out.withColumns({c: F.round(c, 4) for c in ("r2_mean", "r2_std")}))
 
 
-@query("m14_backtest_custom_forecaster_long")
+@query("m14_backtest_custom_forecaster_long", LONG_BACKTEST + FOLD_SQL.format(train=720).replace("model_name,", "'mean_of_last_day' AS model_name,", 1) + " WHERE model_name = 'sma_24'")
 def custom_long(t):
-    return rounded(fc.backtest_custom(long_grid(t), _last_mean, "mean_of_last_day"))
+    return fold_columns(fc.backtest_custom(long_grid(t), _last_mean, "mean_of_last_day"))
 
 
-@query("m15_leaderboard_long")
+@query("m15_leaderboard_long", LONG_BACKTEST + """,
+bo AS (SELECT model_name, avg(mae) AS mae_mean, avg(rmse) AS rmse_mean, count(*) AS n_folds FROM fm GROUP BY 1)
+SELECT model_name, round(mae_mean, 6) AS mae_mean, round(rmse_mean, 6) AS rmse_mean, n_folds, CAST(rank() OVER (ORDER BY mae_mean) AS INTEGER) AS place,
+  rank() OVER (ORDER BY mae_mean) = 1 AS is_champion FROM bo""")
 def leaderboard_long(t):
-    return rounded(fc.leaderboard(fc.backtest_summary(long_folds(t), ["model_name"])))
+    board = fc.leaderboard(fc.backtest_summary(long_folds(t), ["model_name"]))
+    return rounded(board.select("model_name", "mae_mean", "rmse_mean", "n_folds", "place", "is_champion"))
 
 
 # registry: the best model of the first folds holds the title, that of the later folds challenges it
@@ -361,8 +410,20 @@ def gauges(t):
     return rounded(fc.gauges(t.readings, t.predictions, as_of(), ["source", "aqi_category"]))
 
 
-@query("m26_risk_outlook")
+_RISK = sql_cut_case("forecast", dims.RISK_SCORE_CUTS, dims.RISK_SCORE_TOP)
+
+
+@query("m26_risk_outlook", SEASONAL + f""",
+rd AS (SELECT *, forecast <= 100 AS ok FROM sf WHERE step <= 24),
+rr AS (SELECT *, step - sum(CAST(ok AS INTEGER)) OVER (PARTITION BY city ORDER BY step) AS run FROM rd),
+ru AS (SELECT city, min(ts) AS start, max(ts) AS last, count(*) AS hours FROM rr WHERE ok GROUP BY city, run),
+rb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY city ORDER BY hours DESC, start) AS rn FROM ru) WHERE rn = 1),
+rt AS (SELECT city, avg(forecast) FILTER (WHERE step <= 6) AS a, avg(forecast) FILTER (WHERE step > 18) AS z, stddev_pop(forecast) / avg(forecast) AS spread, max({_RISK}) AS risk FROM rd GROUP BY 1)
+SELECT city, CASE WHEN (z - a) / a > 1e-1 THEN 'worsening' WHEN (z - a) / a < -1e-1 THEN 'improving' WHEN spread > 5e-1 THEN 'fluctuating' ELSE 'stable' END AS next_24h_trend,
+  risk AS next_24h_max_risk, start AS safe_start, last AS safe_end, hours AS safe_hours FROM rt LEFT JOIN rb USING (city)""")
 def risk_outlook(t):
-    return fc.risk_outlook(seasonal(t))
+    out = fc.risk_outlook(seasonal(t))
+    window = {"safe_start": "start", "safe_end": "end", "safe_hours": "hours"}
+    return out.select("city", "next_24h_trend", "next_24h_max_risk", *(F.col(f"safe_window.{c}").alias(n) for n, c in window.items()))
 
 

@@ -153,7 +153,7 @@ def expectations(t):
     return rounded(ql.expectations(typed(t)))
 
 
-_CHECKS = GAPS + f""",
+CHECKS = GAPS + f""",
 c AS (SELECT (round(count(city) / count(*), 4) + round(count(parameter) / count(*), 4) + round(count(value) / count(*), 4)
     + round(count(timestamp_utc) / count(*), 4)) / 4 >= 95e-2 AS ok FROM readings),
 k(name, ok, sev) AS (SELECT 'completeness', ok, 'critical' FROM c
@@ -168,12 +168,12 @@ k(name, ok, sev) AS (SELECT 'completeness', ok, 'critical' FROM c
 checks AS (SELECT name, ok AS passed, CASE WHEN ok THEN 'info' ELSE sev END AS severity FROM k)"""
 
 
-@query("q10_all_checks", _CHECKS + " SELECT * FROM checks")
+@query("q10_all_checks", CHECKS + " SELECT * FROM checks")
 def all_checks(t):
     return ql.run_all_checks(t.readings, as_of()).drop("details")
 
 
-@query("q10_report", _CHECKS + """
+@query("q10_report", CHECKS + """
 SELECT count(*) AS checks, count(*) FILTER (WHERE passed) AS checks_passed, count(*) FILTER (WHERE NOT passed AND severity = 'critical') AS critical_failures,
   NOT bool_or(NOT passed AND severity = 'critical') AS passed, round(avg(CAST(passed AS INTEGER)) * 100, 6) AS pass_rate FROM checks""")
 def report(t):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aqspark.operators import quality
@@ -28,18 +28,29 @@ class StreamTables(Tables):
             return super().raw(name)
         return jobs.read_stream(self.spark, self.landed, EVENT_SCHEMA, maxFilesPerTrigger=LANDED_FILES)
 
+    def batch(self, even: Column) -> Column:
+        """The batch that an event is landed in, of those of equal spans of time."""
+        return even
+
     @cached_property
     def landed(self) -> str:
         """All events, landed range by range in order of time, ``LANDED_FILES`` files for each range."""
         path = f"{work_path(self)}/landed"
         events = super().raw("events")
         first, last = events.agg(F.unix_micros(F.min("ts")), F.unix_micros(F.max("ts"))).first()
-        batch = F.least(F.lit(BATCHES - 1), F.floor((F.unix_micros("ts") - first) * BATCHES / max(last - first, 1)))
+        batch = self.batch(F.least(F.lit(BATCHES - 1), F.floor((F.unix_micros("ts") - first) * BATCHES / max(last - first, 1))))
         for k in range(BATCHES):
             events.where(batch == k).repartition(LANDED_FILES).write.mode("append").parquet(path)
         return path
 
 
+class LateTables(StreamTables):
+    """Every seventh event is landed a batch after its time."""
+
+    def batch(self, even: Column) -> Column:
+        return F.least(F.lit(BATCHES - 1), even + F.when(F.col("event_id") % 7 == 0, 1).otherwise(0))
+
+
 def stream(t) -> StreamTables:
     return StreamTables(t.spark, t.sf_dir)
 
@@ -74,6 +85,20 @@ def daily(t):
     return rounded(finish(t, jobs.rollup_stream(stream(t).readings, "1 day")))
 
 
+@query("t02_late_rows_merged", _closed("hour"))
+def late_merged(t):
+    """The rollup of a stream with late rows, once the windows of its side table are renewed."""
+    late, path = LateTables(t.spark, t.sf_dir), work_path(t)
+    rolled = finish(t, jobs.rollup_stream(late.readings))
+    q = late.readings.writeStream.foreachBatch(jobs.late_batch_writer(path)).option("checkpointLocation", f"{path}/state")
+    q.trigger(availableNow=True).start().awaitTermination()
+    side = t.spark.read.schema(t.readings.schema).parquet(f"{path}/late")
+    merged = jobs.merge_late(rolled, side, t.readings)
+    # windows still open at the end of the stream are not yet due
+    edge = t.readings.agg(F.max("timestamp_utc") - F.expr("INTERVAL 2 HOURS")).scalar()
+    return rounded(merged.where(F.col("window_end") <= edge))
+
+
 @query("t03_sliding_unhealthy_hours", """
 h AS (SELECT city, parameter, value, date_trunc('hour', timestamp_utc) AS hb FROM readings),
 s AS (SELECT city, parameter, value, hb - to_hours(CAST(g AS INTEGER)) AS window_start FROM h, generate_series(0, 23) q(g))

@@ -33,20 +33,22 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite", partition_by: l
 
 
 def write_rollups(readings: DataFrame, path: str) -> dict[str, Callable[[], DataFrame]]:
-    """All six rollup outputs. Summaries are made from the daily table once it is written.
+    """All six rollup outputs as CSV with a header. Summaries are made from the daily table once it is written.
 
     The readings are read once: what the rollups use of them is stored first.
     """
     spark = readings.sparkSession
     used = ["city", "parameter", "value", "timestamp_utc", *(c for c in dims.WEATHER_COLUMNS if c in readings.columns)]
     rows = settle(readings.select(*used))
-    for period in ("hour", "day", "week", "month"):
-        rollup.rollup(rows, period).write.mode("overwrite").parquet(f"{path}/{period}")
-    daily = spark.read.parquet(f"{path}/day")
-    rollup.city_daily_summary(daily).write.mode("overwrite").parquet(f"{path}/city_daily")
-    rollup.exceedance_days(daily).write.mode("overwrite").parquet(f"{path}/exceedance")
-    names = ("hour", "day", "week", "month", "city_daily", "exceedance")
-    return {n: (lambda n=n: spark.read.parquet(f"{path}/{n}")) for n in names}
+
+    def export(name: str, df: DataFrame) -> Callable[[], DataFrame]:
+        write_csv(df, f"{path}/{name}")
+        return lambda: spark.read.schema(df.schema).option("header", True).csv(f"{path}/{name}")
+
+    out = {period: export(period, rollup.rollup(rows, period)) for period in ("hour", "day", "week", "month")}
+    out["city_daily"] = export("city_daily", rollup.city_daily_summary(out["day"]()))
+    out["exceedance"] = export("exceedance", rollup.exceedance_days(out["day"]()))
+    return out
 
 
 def save_features(df: DataFrame, folder: str, name: str) -> None:

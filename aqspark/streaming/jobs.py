@@ -1,12 +1,14 @@
 """Stream transformations. Each also runs on a batch frame unless it keeps state.
 
 Late rows: windows close two hours after their end, the freshness limit of the
-quality checks. Rows later than that are left to the daily batch job.
+quality checks. Rows later than that go to a side table (``late_batch_writer``),
+and ``merge_late`` renews the windows they belong to.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -41,12 +43,9 @@ def ingest(df: DataFrame, source: str) -> DataFrame:
     return df.withColumns({"source": F.lit(source), "ingest_date": F.to_date("timestamp_utc")})
 
 
-def rollup_stream(df: DataFrame, length: str = "1 hour", watermark: str = WATERMARK) -> DataFrame:
-    """Tumbling rollup by city and parameter; all aggregates combine map-side."""
-    w = F.window("timestamp_utc", length)
+def window_statistics(df: DataFrame, length: str) -> DataFrame:
     return (
-        df.withWatermark("timestamp_utc", watermark)
-        .groupBy(w.alias("w"), "city", "parameter")
+        df.groupBy(F.window("timestamp_utc", length).alias("w"), "city", "parameter")
         .agg(
             F.avg("value").alias("value_mean"),
             F.stddev_samp("value").alias("value_std"),
@@ -59,6 +58,11 @@ def rollup_stream(df: DataFrame, length: str = "1 hour", watermark: str = WATERM
     )
 
 
+def rollup_stream(df: DataFrame, length: str = "1 hour", watermark: str = WATERMARK) -> DataFrame:
+    """Tumbling rollup by city and parameter; all aggregates combine map-side."""
+    return window_statistics(df.withWatermark("timestamp_utc", watermark), length)
+
+
 def sliding_unhealthy_hours(df: DataFrame, length: str = "24 hours", slide: str = "1 hour") -> DataFrame:
     """Counts over 200/300/400 in each sliding window.
 
@@ -125,6 +129,41 @@ def priority_batch_writer(path: str, tiebreak: str, ts: str = "timestamp_utc") -
     return write
 
 
+def late_batch_writer(path: str, hours: int = 2, ts: str = "timestamp_utc") -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` writer of the rows that come behind the watermark.
+
+    The watermark of a batch is the newest time of the batches before it, less
+    ``hours``, as a stream over the same files has it. Each batch has a folder
+    for its late rows and one for its newest time, so a batch that runs again
+    replaces itself. A row whose window is still open may be among the late
+    ones; renewing that window changes nothing.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        batch.agg(F.max(ts).alias("newest")).write.mode("overwrite").parquet(f"{path}/newest/batch={batch_id}")
+        edge = spark.read.parquet(f"{path}/newest").where(F.col("batch") < batch_id).agg(F.max("newest")).scalar()
+        late = batch.where(F.col(ts) < edge - F.expr(f"INTERVAL {hours} HOURS"))
+        late.write.mode("overwrite").parquet(f"{path}/late/batch={batch_id}")
+
+    return write
+
+
+def merge_late(rolled: DataFrame, late: DataFrame, rows: DataFrame, length: str = "1 hour") -> DataFrame:
+    """Rollup rows in which every window that has a late row is made anew from ``rows``; the others stay as they are.
+
+    Late rows name the windows; those are few, and only their rows are read
+    into an aggregation. A window that had on-time rows only is not touched.
+    """
+    keys = ["city", "parameter", "window_start"]
+    start = F.window("timestamp_utc", length)["start"]
+    touched = late.select("city", "parameter", start.alias("window_start")).distinct()
+    placed = rows.withColumn("window_start", start)
+    same = lambda a, b: reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[k]) for k in keys])
+    anew = window_statistics(placed.join(touched, same(placed, touched), "left_semi"), length)
+    kept = rolled.join(touched, same(rolled, touched), "left_anti")
+    return kept.unionByName(anew)
+
+
 def check_batch_writer(path: str, dataset: str, checks: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` writer of the quality rows of each batch."""
     def write(batch: DataFrame, batch_id: int) -> None:
