@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aqspark import dims
 from aqspark.functions.bins import lookup
+from aqspark.session import settle
 
 DAY_NAMES = ["mon", "tue", "wed", "thu", "fri", "sat", "sun"]
 
@@ -90,11 +91,27 @@ def popular(df: DataFrame, column: str, n: int = 5) -> DataFrame:
 
 
 def page(df: DataFrame, order: list, page_number: int = 1, size: int = 20) -> DataFrame:
-    """One page of the ordered rows, each with the total; page and size are clamped."""
+    """One page of the ordered rows, each with the total; page and size are clamped.
+
+    Rows are stored in ranges of the order. Counts per range tell which ranges
+    hold the page; only their rows are sorted, so a deep page costs no more than the
+    first. Rows that ``order`` cannot tell apart come in any order, but each has
+    one place. Storing the ranges runs a job while this is being built.
+    """
     page_number, size = max(1, page_number), min(100, max(1, size))
-    total = df.agg(F.count(F.lit(1))).scalar()
-    rows = df.orderBy(*order).offset((page_number - 1) * size).limit(size)
-    return rows.withColumn("total", total)
+    start, end = (page_number - 1) * size, page_number * size
+    by = [F.col(c) if isinstance(c, str) else c for c in order]
+    spread = df.withColumn("_tie", F.monotonically_increasing_id())
+    stored = settle(spread.repartitionByRange(*by, "_tie").withColumn("_range", F.spark_partition_id()))
+    ranges = stored.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"))
+    # one row per range
+    before = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.withColumn("_first", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+    holding = ranges.where((F.col("_first") < end) & (F.col("_first") + F.col("_rows") > start)).select("_range", "_first")
+    place = F.col("_first") + F.row_number().over(Window.partitionBy("_range").orderBy(*by, "_tie")) - 1
+    total = stored.agg(F.count(F.lit(1))).scalar()
+    rows = stored.join(holding, "_range").withColumn("_place", place).where((F.col("_place") >= start) & (F.col("_place") < end))
+    return rows.orderBy("_place").select(*[rows[c] for c in df.columns], total.alias("total"))
 
 
 def search_users(users: DataFrame, text: str | None = None, role: str | None = None) -> DataFrame:
