@@ -23,17 +23,31 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkS
     )
 
 
+def stored_folder(master: str, checkpoint_dir: str | None, warehouse_dir: str, warehouse_is_set: bool) -> str:
+    """Folder for stored steps that all executors share: the checkpoint folder, else one beside the warehouse's tables.
+
+    Raises on a cluster with neither set, whose default warehouse is a folder of the driver's machine.
+    """
+    if checkpoint_dir:
+        return checkpoint_dir
+    if warehouse_is_set or master.startswith("local"):
+        return f"{warehouse_dir}/_stored"
+    raise ValueError("set spark.checkpoint.dir or spark.sql.warehouse.dir to a folder that all executors share")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder of ``spark.checkpoint.dir``; where it is unset, one beside the warehouse's tables.
+    """Set the checkpoint folder where it is unset.
 
-    Both are folders that all executors share. What is stored there is the
-    cluster's to clean, since a returned frame may still read it.
+    What is stored there is the cluster's to clean, since a returned frame may
+    still read it.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(shared or f"{spark.conf.get('spark.sql.warehouse.dir')}/_stored")
+    warehouse = "spark.sql.warehouse.dir"
+    sc.setCheckpointDir(stored_folder(
+        sc.master, spark.conf.get("spark.checkpoint.dir", None), spark.conf.get(warehouse), sc.getConf().contains(warehouse)
+    ))
 
 
 def settle(df: DataFrame) -> DataFrame:
