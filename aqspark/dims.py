@@ -4,6 +4,10 @@ Everything in this module is a constant that results depend on. Tables here
 have a size fixed in the source, so joining or inlining them is always bounded.
 """
 
+# --- fixed values: bounds of the country, degrees --------------------------
+INDIA_LATITUDES = (6, 37)
+INDIA_LONGITUDES = (68, 97)
+
 # --- fixed values: cities -------------------------------------------------
 CITY_COORDINATES = {
     "Delhi": (28.6139, 77.2090),

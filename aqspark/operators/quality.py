@@ -15,7 +15,6 @@ from aqspark.operators.quantiles import exact_quantiles
 from aqspark.operators.series import null_safe_join, series_window, with_position
 
 REQUIRED = ["city", "parameter", "value", "timestamp_utc"]
-INDIA = {"lat": (6, 37), "lon": (68, 97)}
 
 
 def check_row(df: DataFrame, name: str, passed: Column, details: list[str], severity: str) -> DataFrame:
@@ -102,7 +101,7 @@ def pm_pairs(df: DataFrame, time: str = "timestamp_utc") -> DataFrame:
 
 
 def outside_india(df: DataFrame) -> DataFrame:
-    (la, lb), (oa, ob) = INDIA["lat"], INDIA["lon"]
+    (la, lb), (oa, ob) = dims.INDIA_LATITUDES, dims.INDIA_LONGITUDES
     lat, lon = F.col("latitude"), F.col("longitude")
     return df.agg(F.count_if((lat < la) | (lat > lb) | (lon < oa) | (lon > ob)).alias("geographic_bounds"))
 
