@@ -14,6 +14,7 @@ from aqspark.plans.files import work_path
 from aqspark.plans.marts import rounded
 from aqspark.plans.registry import query
 from aqspark.plans.tables import AS_OF, EVENT_SCHEMA, Tables, as_of
+from aqspark.session import settle
 from aqspark.streaming import cooldown, jobs
 
 BATCHES, LANDED_FILES = 4, 4
@@ -151,7 +152,7 @@ FROM fired JOIN ex USING (location, condition, frequency, us) JOIN (SELECT * FRO
 WHERE s.created_at <= make_timestamp(us) AND user_id IN (SELECT user_id FROM users WHERE NOT is_suspended)""")
 def alerts(t):
     t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    rules = cooldown.alert_rules(t.subscriptions)
+    rules = settle(cooldown.alert_rules(t.subscriptions))  # each batch reads them
     fired = finish(t, cooldown.triggers(cooldown.exceeding(stream(t).readings, rules)))
     return rounded(cooldown.to_subscribers(fired, t.subscriptions, t.users))
 

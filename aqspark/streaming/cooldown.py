@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from aqspark.operators.alerts import cooldown_seconds, parse_conditions
+from aqspark.session import settle
 
 RULE = ["location", "condition", "frequency"]
+PART_ROWS = 2_000_000  # alerts of subscribers that a task joins
 OUTPUT = "location string, condition string, frequency string, triggered_at timestamp, current_value double, threshold double"
 
 
@@ -42,27 +45,29 @@ class Cooldown(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         last = self._last.get()[0] if self._last.exists() else None
-        parts = []
+        times, values, wait, threshold = [], [], 0, 0.0
         for p in rows:
-            wait = int(p["cooldown"].iloc[0]) * 1_000_000
-            if last is not None:
-                # rows within the running cooldown can never fire
-                p = p[p["timestamp_utc"].astype("datetime64[us]").astype("int64") - last >= wait]
-            # copies at one instant fire at most once
-            parts.append(p.groupby("timestamp_utc", as_index=False)[["current_value", "threshold"]].min())
-        batch = pd.concat(parts, ignore_index=True).sort_values(["timestamp_utc", "current_value"])
-        micros = batch["timestamp_utc"].astype("datetime64[us]").astype("int64").tolist()
-        picked = []
-        for i, at in enumerate(micros):
-            if last is None or at - last >= wait:
-                picked.append(i)
-                last = at
+            wait, threshold = int(p["cooldown"].iloc[0]) * 1_000_000, p["threshold"].iloc[0]
+            p = p[p["timestamp_utc"].notna()]
+            at = p["timestamp_utc"].astype("datetime64[us]").astype("int64").to_numpy()
+            # rows within the running cooldown can never fire
+            open_ = slice(None) if last is None else at - last >= wait
+            times.append(at[open_])
+            values.append(p["current_value"].to_numpy()[open_])
+        at, value = np.concatenate(times), np.concatenate(values)
+        # copies at one instant fire at most once, with the smallest value
+        order = np.lexsort((value, at))
+        at, value = at[order], value[order]
+        picked, i = [], 0
+        while i < len(at):
+            picked.append(i)
+            last = int(at[i])
+            i = int(np.searchsorted(at, last + max(wait, 1)))
         if last is not None:
             self._last.update((last,))
-        hit = batch.iloc[picked]
         yield pd.DataFrame({
-            "location": key[0], "condition": key[1], "frequency": key[2], "triggered_at": hit["timestamp_utc"],
-            "current_value": hit["current_value"], "threshold": hit["threshold"],
+            "location": key[0], "condition": key[1], "frequency": key[2], "triggered_at": pd.to_datetime(at[picked], unit="us"),
+            "current_value": value[picked], "threshold": threshold,
         })
 
     def close(self) -> None:
@@ -76,12 +81,27 @@ def triggers(matches: DataFrame) -> DataFrame:
     )
 
 
-def to_subscribers(alerts: DataFrame, subscriptions: DataFrame, users: DataFrame) -> DataFrame:
+def to_subscribers(alerts: DataFrame, subscriptions: DataFrame, users: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
     """One row per alert and active subscription whose user is not suspended.
 
     A subscription gets the alerts from its creation on. The cooldown belongs to
     the rule, so one created inside it first hears of the next alert.
+
+    The result has far more rows than either side and few rules, so the
+    subscribers of a rule are cut into as many parts as its pairs need, and
+    parts, not rules or files, are spread over the tasks.
     """
+    spark = alerts.sparkSession
     active = subscriptions.where("active").join(users.where(~F.col("is_suspended")), "user_id", "left_semi")
-    joined = alerts.join(active.select("subscription_id", "user_id", "channel", "created_at", *RULE), RULE)
-    return joined.where("created_at <= triggered_at").drop("created_at")
+    active = active.select("subscription_id", "user_id", "channel", "created_at", *RULE)
+    count = F.count(F.lit(1))
+    pairs = active.groupBy(*RULE).agg(count.alias("_s")).join(alerts.groupBy(*RULE).agg(count.alias("_a")), RULE)
+    pairs = settle(pairs.select(*RULE, (F.col("_s") * F.col("_a")).alias("_pairs")))
+    total = pairs.agg(F.sum("_pairs")).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // part_rows))
+    cut = pairs.select(*RULE, F.ceil(F.col("_pairs") / part_rows).alias("_parts"))
+    part = F.pmod(F.xxhash64("subscription_id", "user_id", "channel", "created_at"), F.col("_parts"))
+    mine = active.join(cut, RULE).withColumn("_part", part).drop("_parts").repartition(tasks, *RULE, "_part")
+    copies = alerts.join(cut, RULE).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_parts") - 1))).drop("_parts")
+    joined = copies.hint("merge").join(mine, [*RULE, "_part"])
+    return joined.where("created_at <= triggered_at").drop("created_at", "_part")

@@ -137,3 +137,26 @@ def test_alerts_start_with_the_subscription(spark):
 def test_default_row_pattern(spark):
     df = spark.createDataFrame([(1, "<table><tr><td>Anand Vihar</td><td>312</td></tr><tr><td class=x>ITO, Delhi</td><td>note</td><td>5</td></tr></table>")], "id int, html string")
     assert [(r.location, r.value) for r in docs.parse_html(df, "id").collect()] == [("Anand Vihar", 312.0), ("ITO, Delhi", 5.0)]
+
+
+def test_subscribers_of_one_rule_are_spread_over_tasks(spark):
+    alerts = spark.createDataFrame([("Delhi", "AQI>1", "daily", T0 + dt.timedelta(days=d)) for d in range(20)], "location string, condition string, frequency string, triggered_at timestamp")
+    # one file, one rule; every third subscription is null, one comes twice, and one is of a rule that never fires
+    ids = [*(None if n % 3 == 0 else n for n in range(300)), 1, 7]
+    subs = spark.createDataFrame([(n, k % 40, "AQI>9" if n == 7 and k > 299 else "AQI>1", "Delhi", "daily", "sms", True, T0 + dt.timedelta(days=k % 20)) for k, n in enumerate(ids)],
+                                 "subscription_id int, user_id int, condition string, location string, frequency string, channel string, active boolean, created_at timestamp").coalesce(1)
+    users = spark.createDataFrame([(n, n == 5) for n in range(40)], "user_id int, is_suspended boolean")
+    expected = sorted((-1 if n is None else n, k % 40, T0 + dt.timedelta(days=d)) for k, n in enumerate(ids[:301]) if k % 40 != 5 for d in range(k % 20, 20))
+    out = cooldown.to_subscribers(alerts, subs, users, part_rows=500)
+    assert sorted((-1 if r.subscription_id is None else r.subscription_id, r.user_id, r.triggered_at) for r in out.collect()) == expected
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 3 and max(sizes) < len(expected) / 2
+
+
+def test_cooldown_of_copies_and_rows_without_a_time(spark):
+    schema = "location string, condition string, frequency string, timestamp_utc timestamp, current_value double, threshold double, cooldown long"
+    at = [None, 30, 0, 0, 60, 59, 119, 120, None]  # minutes
+    rows = [("A", "AQI>1", "hourly", m if m is None else T0 + dt.timedelta(minutes=m), 9.0 - k, 1.0, 3600) for k, m in enumerate(at)]
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    fired = cooldown.triggers(spark.createDataFrame(rows, schema)).collect()
+    assert sorted((r.triggered_at, r.current_value) for r in fired) == [(T0, 6.0), (T0 + dt.timedelta(hours=1), 5.0), (T0 + dt.timedelta(hours=2), 2.0)]
