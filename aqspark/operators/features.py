@@ -61,8 +61,8 @@ def rolling_features(
     )
 
 
-def ema_features(placed: DataFrame, value="value", spans=None, keys=None) -> DataFrame:
-    return ewm_mean(placed, keys or SERIES, value, {f"{value}_ema_{s}h": s for s in spans or dims.ROLLING_WINDOWS})
+def ema_features(placed: DataFrame, value="value", spans=None, keys=None, source: DataFrame | None = None) -> DataFrame:
+    return ewm_mean(placed, keys or SERIES, value, {f"{value}_ema_{s}h": s for s in spans or dims.ROLLING_WINDOWS}, source)
 
 
 def weather_window_columns(w: WindowSpec, columns: list[str]) -> dict[str, Column]:
@@ -85,10 +85,12 @@ def weather_window_features(placed: DataFrame, keys=None, min_block: int = MIN_B
     )
 
 
-def rows_since(placed: DataFrame, column: str, name: str, threshold: float = 0.0, keys=None) -> DataFrame:
+def rows_since(
+    placed: DataFrame, column: str, name: str, threshold: float = 0.0, keys=None, source: DataFrame | None = None
+) -> DataFrame:
     """Rows since ``column`` last exceeded the threshold; null before the first time."""
     event = F.when(F.col(column) > threshold, F.col("_pos"))
-    out = running(placed, keys or SERIES, lasts={"_event": event})
+    out = running(placed, keys or SERIES, lasts={"_event": event}, source=source)
     return out.withColumn(name, F.col("_pos") - F.col("_event")).drop("_event")
 
 
@@ -141,26 +143,32 @@ def weather_interactions(columns: list[str], lag: str = "aqi_lag_1") -> dict[str
 
 
 def create_features(df: DataFrame, order: list, lags=None, windows=None, median: bool = True) -> DataFrame:
-    """The whole first feature set over merged readings and weather."""
+    """The whole first feature set over merged readings and weather.
+
+    Each step that moves rows moves all columns made before it, so the windows,
+    which make most of them, come last, and sums of blocks are taken from the
+    narrow rows.
+    """
     placed = positioned(df, order)
     lags, windows = lags or dims.LAG_HOURS, windows or dims.ROLLING_WINDOWS
-    wide = series_window(
-        placed,
-        SERIES,
-        lambda w: {
-            **lag_columns(w, "value", lags),
-            **rolling_columns(w, "value", windows, median),
-            **weather_window_columns(w, df.columns),
-        },
-        before=max([*lags, *windows, 24]),
-    )
-    wide = ema_features(wide, spans=windows)
+    window_columns = lambda w: {
+        **lag_columns(w, "value", lags),
+        **rolling_columns(w, "value", windows, median),
+        **weather_window_columns(w, df.columns),
+    }
+    rows = spatial_features(placed)
+    spatial = [c for c in rows.columns if c not in placed.columns]
+    rows = ema_features(rows, spans=windows, source=placed)
+    since = []
     if "precipitation" in df.columns:
-        wide = rows_since(wide, "precipitation", "hours_since_rain")
-    wide = wide.withColumns(time_columns())
+        rows, since = rows_since(rows, "precipitation", "hours_since_rain", source=placed), ["hours_since_rain"]
+    wide = series_window(rows, SERIES, window_columns, before=max([*lags, *windows, 24]))
+    made = [c for c in wide.columns if c not in rows.columns]
+    out = wide.select(*df.columns, *made, *[f"value_ema_{s}h" for s in windows], *since, *spatial)
+    out = out.withColumns(time_columns())
     if {"wind_speed_10m", "wind_direction_10m", "relative_humidity_2m", "temperature_2m", "precipitation"} <= set(df.columns):
-        wide = wide.withColumns({**wind_columns(), **wx.interactions("value")})
-    return spatial_features(wide).drop("_pos", "_n")
+        out = out.withColumns({**wind_columns(), **wx.interactions("value")})
+    return out.select(*[c for c in out.columns if c not in spatial], *spatial)
 
 
 # --- hourly grid per city: one row per hour, so windows by city stay bounded ---

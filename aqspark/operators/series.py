@@ -132,17 +132,22 @@ def running(
     nexts: dict[str, Column] | None = None,
     min_block: int = MIN_BLOCK,
     totals: bool = False,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Add running sums, last and next non-null values, each including the row itself.
 
     With ``totals`` every sum also gets its total over the series as ``<name>_total``.
+    ``source`` has the same rows as ``positioned`` before it was widened: the
+    blocks are summed up from it, so that what widened it runs once.
     """
     sums, lasts, nexts = sums or {}, lasts or {}, nexts or {}
     named = {**sums, **lasts, **nexts}
-    blocked = positioned.withColumns({
+    columns = {
         "_sid": _series_id(keys), "_blk": F.floor(F.col("_pos") / _block_length(min_block)),
         **{f"_x_{n}": c for n, c in named.items()},
-    })
+    }
+    blocked = positioned.withColumns(columns)
+    summed = blocked if source is None else source.withColumns(columns)
 
     def where_set(n: str) -> Column:
         return F.when(F.col(f"_x_{n}").isNotNull(), F.col("_pos"))
@@ -155,7 +160,7 @@ def running(
     back = (Window.unboundedPreceding, -1)
     earlier = Window.partitionBy("_sid").orderBy("_blk").rowsBetween(*back)
     later = Window.partitionBy("_sid").orderBy(F.col("_blk").desc()).rowsBetween(*back)
-    carried = blocked.groupBy("_sid", "_blk").agg(*per_block).select(
+    carried = summed.groupBy("_sid", "_blk").agg(*per_block).select(
         "_sid",
         "_blk",
         *[F.sum(f"_b_{n}").over(Window.partitionBy("_sid")).alias(f"{n}_total") for n in sums if totals],
@@ -180,17 +185,20 @@ def running(
     return out.drop("_sid", "_blk", *extra)
 
 
-def ewm_mean(positioned: DataFrame, keys: list[str], value: str, spans: dict[str, int]) -> DataFrame:
+def ewm_mean(positioned: DataFrame, keys: list[str], value: str, spans: dict[str, int], source: DataFrame | None = None) -> DataFrame:
     """Add exponentially weighted means (adjusted weights, nulls skipped) per span.
 
     Decayed sums are taken inside blocks of 256 rows; a block's sum then reaches
-    as many later blocks as its weight stays above double precision.
+    as many later blocks as its weight stays above double precision. ``source``
+    is as in ``running``.
     """
     b = EWM_BLOCK
     decay = {name: 1.0 - 2.0 / (span + 1.0) for name, span in spans.items()}
-    blocked = positioned.withColumns({
+    columns = {
         "_sid": _series_id(keys), "_blk": F.floor(F.col("_pos") / b), "_off": (F.col("_pos") % b).cast("double"),
-    })
+    }
+    blocked = positioned.withColumns(columns)
+    summed = blocked if source is None else source.withColumns(columns)
     x = F.coalesce(F.col(value), F.lit(0.0))
     seen = F.when(F.col(value).isNotNull(), F.lit(1.0)).otherwise(F.lit(0.0))
 
@@ -201,7 +209,7 @@ def ewm_mean(positioned: DataFrame, keys: list[str], value: str, spans: dict[str
     for name, d in decay.items():
         weight = power(d, F.lit(float(b - 1)) - F.col("_off"))
         sums += [F.sum(x * weight).alias(f"_s_{name}"), F.sum(seen * weight).alias(f"_t_{name}")]
-    per_block = blocked.groupBy("_sid", "_blk").agg(*sums)
+    per_block = summed.groupBy("_sid", "_blk").agg(*sums)
     reach = max(_reach(d) for d in decay.values())
     spread = per_block.withColumn("_ahead", F.explode(F.sequence(F.lit(1), F.lit(reach))))
     carry = []

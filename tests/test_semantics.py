@@ -227,3 +227,19 @@ def test_series_keys_with_separators_differ(spark):
 
     df = spark.createDataFrame([("x\u0001=y", "z"), ("x", "y\u0001=z"), ("1:x", "y"), ("1", "x1:y")], "a string, b string")
     assert {r["_n"] for r in with_position(df, ["a", "b"], ["a"]).collect()} == {1}
+
+
+def test_feature_set_moves_narrow_rows(spark):
+    """The wide columns are made after the last shuffle."""
+    import re
+
+    from aqspark.operators import features as ft
+
+    df = spark.createDataFrame([("a", "aqi", None, 1.0, 0.0)], "city string, parameter string, timestamp_utc timestamp, value double, precipitation double")
+    out = ft.create_features(df, ["timestamp_utc"], median=False)
+    spark.conf.set("spark.sql.debug.maxToStringFields", 1000)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert out.count() == 1 and "value_roll_mean_168h" in out.columns
+    top = min(m.start() for m in re.finditer("Join|Aggregate", plan))
+    assert plan.index("value_roll_mean_168h") < top and "value_roll_mean_168h" not in plan[top:]
