@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -49,8 +50,18 @@ BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
 
+_KEPT: dict[np.uint64, np.ndarray] = {}  # powers of texts of usual length, computed once in a worker
+
+
 def _powers(base: np.uint64, n: int) -> np.ndarray:
-    return np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(n, base, np.uint64))))
+    """The powers 0 to n at least."""
+    kept = _KEPT.get(base)
+    if kept is None or len(kept) <= n:
+        size = max(n, 1 << 12)
+        kept = np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(size, base, np.uint64))))
+        if size <= 1 << 20:
+            _KEPT[base] = kept
+    return kept
 
 
 def run_hashes(words: np.ndarray, width: int) -> np.ndarray:
@@ -58,8 +69,8 @@ def run_hashes(words: np.ndarray, width: int) -> np.ndarray:
     n = len(words) - width + 1
     if n < 1:
         return np.empty(0, np.uint64)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * _powers(BASE, len(words))[:-1], dtype=np.uint64)))
-    h = (sums[width:] - sums[:n]) * _powers(INVERSE, n)[:-1]
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * _powers(BASE, len(words))[: len(words)], dtype=np.uint64)))
+    h = (sums[width:] - sums[:n]) * _powers(INVERSE, n)[:n]
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
     return h ^ h >> np.uint64(32)
@@ -80,6 +91,11 @@ def anchors(words: np.ndarray) -> np.ndarray:
     return window_minima(h, WINDOW - GRAM + 1) if len(h) > WINDOW - GRAM else h[:0]
 
 
+def runs(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values start. Neighbouring windows mostly share their anchor."""
+    return np.flatnonzero(np.concatenate((np.ones(min(len(values), 1), bool), values[1:] != values[:-1])))
+
+
 def cells(anchor: np.ndarray, row: int, width: int) -> np.ndarray:
     """Counter of each anchor in one row of the sketch."""
     mixed = (anchor ^ np.uint64(row * 0xA5A5A5A5)) * np.uint64(0xC2B2AE3D27D4EB4F + 2 * row)
@@ -87,17 +103,17 @@ def cells(anchor: np.ndarray, row: int, width: int) -> np.ndarray:
 
 
 class WordHashes:
-    """Two 64-bit hashes of each word (seeds 1 and 2) for each text of a batch."""
+    """Two 64-bit hashes of each word (seeds 1 and 2) for each text of a batch; the second is a function, as few texts need it."""
 
     def texts(self, column: pa.Array):
         for _, part in slices(column, PART_BYTES):
             vocabulary, index, bounds = encoded_words(part)
             raw = [w.encode() for w in vocabulary]
-            first = np.fromiter((xxhash.xxh64_intdigest(w, 1) for w in raw), np.uint64, len(raw))
-            second = np.fromiter((xxhash.xxh64_intdigest(w, 2) for w in raw), np.uint64, len(raw))
-            a, b = first[index], second[index]
+            hashes = lambda seed: np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in raw), np.uint64, len(raw))  # noqa: E731,B023
+            second = cache(lambda: hashes(2))  # noqa: B023
+            first = hashes(1)[index]
             for i, j in zip(bounds[:-1], bounds[1:]):
-                yield a[i:j], b[i:j]
+                yield first[i:j], lambda i=i, j=j, second=second, index=index: second()[index[i:j]]
 
 
 def _pack(counts: np.ndarray) -> bytes:
@@ -147,7 +163,8 @@ def sketch(rows: DataFrame, width: int) -> list[np.ndarray]:
                     continue
                 if counts is None:
                     counts = [Counters(width) for _ in range(ROWS)]
-                found = np.unique(anchors(words))
+                found = anchors(words)
+                found = np.unique(found[runs(found)])
                 for row in range(ROWS):
                     counts[row].add(np.unique(cells(found, row, width)))
         for row in range(ROWS) if counts is not None else ():
@@ -210,11 +227,14 @@ def repeated_windows(df: DataFrame, id: str = "doc_id", text: str = "text", widt
         for row, (id, (first, second)) in enumerate(zip(batch.column(0), WordHashes().texts(batch.column(1)))):
             if len(first) < WINDOW or not id.is_valid:
                 continue
-            at = np.flatnonzero(estimated_repeated(anchors(first), shared.value))
-            if len(at):
+            anchor = anchors(first)
+            starts_of = runs(anchor)
+            repeated = estimated_repeated(anchor[starts_of], shared.value)
+            if repeated.any():
+                at = np.flatnonzero(np.repeat(repeated, np.diff(starts_of, append=len(anchor))))
                 ids.append(pa.repeat(id, len(at)))
                 starts.append(at)
-                keys.append((run_hashes(first, WINDOW)[at].view(np.int64), run_hashes(second, WINDOW)[at].view(np.int64), np.full(len(at), t1[row]), np.full(len(at), t2[row])))
+                keys.append((run_hashes(first, WINDOW)[at].view(np.int64), run_hashes(second(), WINDOW)[at].view(np.int64), np.full(len(at), t1[row]), np.full(len(at), t2[row])))
                 n += len(at)
             if n > 200_000:
                 yield table(ids, starts, keys)

@@ -1,7 +1,9 @@
 """Repeated windows against all windows, and the sketch's one-sided error."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 
 import brute
 from aqspark.llm import substrings
@@ -45,3 +47,11 @@ def test_counters_stop_at_two():
         counters.add(cells)
         want[cells] += 1
     assert (counters.part(1024, 2048) == np.minimum(want, 2)[1024:3072]).all()
+
+
+def test_runs_and_second_hashes_on_demand():
+    assert substrings.runs(np.array([5, 5, 7, 5, 5], np.uint64)).tolist() == [0, 2, 3] and len(substrings.runs(np.empty(0, np.uint64))) == 0
+    texts = ["a b a", "", "c a"]
+    found = list(substrings.WordHashes().texts(pa.array([*texts, None])))
+    assert [f.tolist() for f, _ in found] == [[xxhash.xxh64_intdigest(w, 1) for w in t.split()] for t in [*texts, ""]]
+    assert [second().tolist() for _, second in found] == [[xxhash.xxh64_intdigest(w, 2) for w in t.split()] for t in [*texts, ""]]
