@@ -160,7 +160,11 @@ def ball(radius: int) -> np.ndarray:
 
 
 def _keyed(nodes: DataFrame, rule) -> DataFrame:
-    """(key, fp) rows of ``rule`` for the column fp of ``nodes``, in small batches."""
+    """(key, fp) rows of ``rule`` for the column fp of ``nodes``, in small batches.
+
+    Spark takes the many rows of a fingerprint for one when it sizes them, so
+    what is joined with them unstored is to carry the hint ``merge``.
+    """
 
     def run(batch: pa.RecordBatch):
         fp = batch.column(0).to_numpy()
@@ -190,7 +194,7 @@ def links(nodes: DataFrame, crowded: int = CROWDED) -> DataFrame:
     hot = stored.groupBy("key").count().where(F.col("count") > crowded).select("key")
     hot = settle(hot)
     cold = stored.join(hot, "key", "left_anti")
-    probes = _keyed(nodes, probe_keys).withColumnRenamed("fp", "other")
+    probes = _keyed(nodes, probe_keys).withColumnRenamed("fp", "other").hint("merge")
     pairs = probes.join(cold, "key").where((F.col("fp") != F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= MAX_BITS))
     found = pairs.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b"))
     if hot.isEmpty():
@@ -199,7 +203,7 @@ def links(nodes: DataFrame, crowded: int = CROWDED) -> DataFrame:
     members = settle(stored.join(hot, "key", "left_semi").select("fp").distinct())
     near = _keyed(members, _around(1))
     centre = settle(near.groupBy("key").agg(F.min("fp").alias("first")))
-    star = _keyed(members, _around(2)).join(centre, "key").where("fp != first")
+    star = _keyed(members, _around(2)).hint("merge").join(centre, "key").where("fp != first")
     return found.union(star.select(F.least("fp", "first").alias("a"), F.greatest("fp", "first").alias("b")).distinct())
 
 
