@@ -196,7 +196,8 @@ def mix(df: DataFrame, id: str = "doc_id", text: str = "text", source: str = "so
         return Mix(rows.withColumns({"_at": F.lit(0), "_start": F.lit(0).cast("long")}), [], empty.where("false"))
     rows = settle(placed(rows, sources))
     taken = slots(df, sources, seed)
-    return Mix(rows, sources, blocks(rows).join(taken, ["_at", "block"]))
+    # no side is broadcast: Spark sizes the blocks of a document as one row, and the slots by their packed files
+    return Mix(rows, sources, blocks(rows).hint("merge").join(taken, ["_at", "block"]))
 
 
 def document_totals(found: Mix, id: str = "doc_id") -> DataFrame:

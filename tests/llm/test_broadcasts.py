@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from aqspark.llm import simhash
+from aqspark.llm import mixing, simhash
 
 
 def broadcast(df) -> list[str]:
@@ -28,3 +28,10 @@ def test_keys_of_fingerprints(spark, crowded):
     # nor the other side of such a join, which is stored but has many rows for a fingerprint
     joins = [line for line in edges._jdf.queryExecution().executedPlan().toString().split("\n") if "Join" in line and "Inner" in line]
     assert joins and all("SortMergeJoin" in line for line in joins)
+
+
+def test_blocks_of_documents(make, corpus):
+    pieces = mixing.mix(make(corpus)).pieces
+    assert pieces.count() > 0
+    plan = pieces._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode" in plan and [p for p in broadcast(pieces) if "Generate explode" in p or "shard" in p] == []
