@@ -291,4 +291,4 @@ def sequences(t):
 @query("w10_feature_set_whole")
 def whole_feature_set(t):
     """All feature groups in one table (rows-only: its parts have twins)."""
-    return ft.create_features(merged(t), ORDER, median=False)
+    return ft.create_features(merged(t), ORDER)
